@@ -6,11 +6,13 @@ from corpusmill.llm.packing import op5_best_fit_packing
 from corpusmill.llm.pii import op1_pii_bootstrap
 from corpusmill.llm.secrets import op3_secret_grammar
 from corpusmill.llm.tokenfiles import op2_token_files
+from corpusmill.llm.toxicity import op4_toxic_segments
 
 QUERIES = {
     "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_token_files": op2_token_files,
     "op3_secret_grammar": op3_secret_grammar,
+    "op4_toxic_segments": op4_toxic_segments,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 

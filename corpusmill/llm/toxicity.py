@@ -1,15 +1,17 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Fit, on a bounded sample of labelled training rows (``CLASS_ROWS`` of each label, the first by hash; ids are
-broadcast, so texts aren't shuffled): document frequencies of words and of their first four and six letters in
-toxic and clean documents.  A word's log-odds come from nested Dirichlet priors - the class's share is the prior of
-the four-letter prefix, that of the six-letter one, that of the word - so a word never met is judged by what it
-begins with.  The lexicon keeps the ``LEXICON`` most telling entries.
-
-Score: a linear scan over a text's token log-odds less ``DRIFT`` finds every maximal scoring segment (all-maximal
-scoring subsequences).  The best segment's sum over a text of n words, less log n over the decay rate, follows an
-extreme-value law; Gumbel laws fitted to clean and to toxic training documents give the document's probability by
-Bayes with the share of toxic labels.  ``segments`` returns the passages, the score is the document's.
+broadcast, so texts aren't shuffled): token counts of words and of their first letters in toxic and clean
+documents.  A word's log-odds come from nested Dirichlet priors - equal odds are the prior of its first three
+letters, those of the first four, and so on to the word - read at the deepest level with enough observations and
+lowered by their standard error, so that chance counts bring nothing and a word never met is judged by its
+beginning.  The lexicon keeps the ``LEXICON`` most telling entries.
+
+Score: token log-odds less a drift, the rate by which scoring tokens are denser in toxic text (a Poisson
+likelihood ratio), make a walk; a linear scan finds every maximal scoring segment of it.  A clean text's best
+segment grows as the logarithm of its scoring tokens, so the sum less that logarithm follows an extreme-value law;
+Gumbel laws fitted to clean and toxic training documents give the document's probability by Bayes with the share
+of toxic labels.  ``segments`` returns the significant passages, the score is the document's.
 
 Labels, language, source and ids are no inputs of a score.  Defined results: a null or empty text has the score of
 a text without any scoring segment; a null ``doc_id`` is never a training row and not held out; repeated labels of
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLASS_ROWS, LEXICON, DRIFT, THRESHOLD = 8192, 60_000, 1.5, 0.3
+CLASS_ROWS, LEXICON, THRESHOLD = 8192, 60_000, 0.3
+PRIOR, ENOUGH, LEAST, REPEATS, LEVELS = 4.0, 10.0, 0.7, 2, (3, 4, 5, 6, 7, 8)
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&"
 
 
@@ -37,8 +40,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(word: str) -> tuple[str, ...]:
-    """Prefix features from general to special, then the word."""
-    return tuple(dict.fromkeys((f"4 {word[:4]}", f"6 {word[:6]}", f"w {word}")))
+    """Prefixes from general to special, then the word."""
+    return (*(f"{k} {word[:k]}" for k in LEVELS if k < len(word)), f"w {word}")
 
 
 def plain(raw: str) -> str:
@@ -49,22 +52,27 @@ class Lexicon:
     """Log-odds of words, and the calibration of their best segments."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
-        self.toxic, self.clean = toxic, clean
+        self.toxic, self.clean = toxic, clean  # tokens
         self.counts = counts
         self.memo: dict[str, float] = {}
         self.laws: tuple[float, float, float, float] | None = None
-        self.share = 0.0
+        self.share = self.drift = self.rate = 0.0
+        if toxic and clean:
+            scoring = [counts[f] for f in counts if f[:2] == "w " and self.log_odds(f[2:]) > 0]
+            self.rate = sum(c0 for _, c0 in scoring) / clean
+            self.drift = max(sum(c1 for c1, _ in scoring) / toxic - self.rate, 0.002)
 
     def log_odds(self, word: str) -> float:
-        """Against equal classes; nested Beta priors of 4 pseudo-documents, shrinking to no evidence."""
-        q = 0.5
+        """Evidence of toxic text, 0 or more."""
+        q, out = 0.5, 0.0
         for f in features(word):
             c1, c0 = self.counts.get(f, (0, 0))
-            a, b = c1 / max(self.toxic, 1), c0 / max(self.clean, 1)
-            n = c1 + c0
-            if n:
-                q = (q * 4 + n * (a / (a + b))) / (4 + n)
-        return math.log(q / (1 - q))
+            n1, n0 = c1, c0 * self.toxic / self.clean
+            a, b = PRIOR * q + n1, PRIOR * (1 - q) + n0
+            q = a / (a + b)
+            if n1 + n0 >= ENOUGH:
+                out = math.log(a / b) - math.sqrt(1 / (a + 1) + 1 / (b + 1))
+        return min(6.0, out) if out >= LEAST else 0.0
 
     def score_of(self, raw: str) -> float:
         s = self.memo.get(raw)
@@ -72,31 +80,36 @@ class Lexicon:
             word = plain(raw)
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            s = self.memo[raw] = (max(-4.0, min(6.0, self.log_odds(word))) if word else 0.0) - DRIFT
+            s = self.memo[raw] = (self.log_odds(word) if word else 0.0) - self.drift
         return s
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """The walk's steps; a word's third and later occurrences bring no more evidence."""
         get, own = self.memo.get, self.score_of
         out = list(map(get, words))
-        for k, s in enumerate(out):
-            if s is None:
-                out[k] = own(words[k])
-        return np.array(out, np.float64)
+        if None in out:
+            out = [own(w) if s is None else s for w, s in zip(words, out)]
+        out = np.array(out, np.float64)
+        met: Counter = Counter()
+        for k in np.flatnonzero(out > 0).tolist():
+            met[words[k]] += 1
+            if met[words[k]] > REPEATS:
+                out[k] = -self.drift
+        return out
 
     def probability(self, best: float, words: int) -> float:
         """Of a document's best segment under the two extreme-value laws."""
         if self.laws is None:
             return 0.0
         m0, b0, m1, b1 = self.laws
-        z = min(max(normal(best, words), m0), max(m1, m0) + 4 * b1)
+        z = min(max(self.normal(best, words), m0), max(m1, m0) + 4 * b1)
         density = lambda m, b: -math.log(b) - (z - m) / b - math.exp(min(50.0, -(z - m) / b))
         x = density(m1, b1) - density(m0, b0) + math.log(max(self.share, 1e-6) / max(1 - self.share, 1e-6))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
-
-def normal(best: float, words: int) -> float:
-    """The best sum, less what the length alone brings: log n at a decay rate of 1."""
-    return best - math.log(max(words, 1))
+    def normal(self, best: float, words: int) -> float:
+        """The best sum, less what the length alone brings."""
+        return best - math.log1p(self.rate * words)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -142,18 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, rows = (Counter(), Counter()), [0, 0]
+        words = (Counter(), Counter())
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                rows[k] += 1
-                tally[k].update({f for w in {plain(r) for r in (t.as_py() or "").split()} if w for f in features(w)})
+                words[k].update({w: min(n, REPEATS) for w, n in Counter((t.as_py() or "").split()).items()})
+        tally = (Counter(), Counter())
+        for k in (0, 1):
+            for raw, n in words[k].items():
+                if word := plain(raw):
+                    tally[k][""] += n
+                    for f in features(word):
+                        tally[k][f] += n
         names = list(tally[0].keys() | tally[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([rows[1], *(tally[1][f] for f in names)]), pa.array([rows[0], *(tally[0][f] for f in names)])], names=["feature", "c1", "c0"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][f] for f in names], pa.int64()), pa.array([tally[0][f] for f in names], pa.int64())], names=["feature", "c1", "c0"])
 
     # Partial sums leave the tasks; the features are those of the bounded sample.
     counts = rows.mapInArrow(count, "feature string, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    telling = F.abs(F.log((F.col("c1") + 0.5) / (F.col("c0") + 0.5))) * F.sqrt(F.col("c1") + F.col("c0"))
-    top = counts.where("c1 + c0 > 1").orderBy((F.col("feature") != "").cast("int"), telling.desc(), "feature").limit(entries + 1).collect()
+    telling = F.log((F.col("c1") + 0.5) / (F.col("c0") + 0.5)) * F.sqrt(F.col("c1") + F.col("c0"))
+    top = counts.where("c1 + c0 > 1 and c1 > 0").orderBy((F.col("feature") != "").cast("int"), telling.desc(), "feature").limit(entries + 1).collect()
     table = {r["feature"]: (r["c1"], r["c0"]) for r in top}
     toxic, clean = table.pop("", (0, 0))
     lexicon = Lexicon(table, toxic, clean)
@@ -162,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [(t.as_py() or "").split() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normal(best_segment(held.value.scores(w)), len(w)) for w in words], pa.float64())], names=["toxic", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.normal(best_segment(held.value.scores(w)), len(w)) for w in words], pa.float64())], names=["toxic", "z"])
 
     laws = {r["toxic"]: r for r in rows.mapInArrow(moments, "toxic int, z double").groupBy("toxic").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).collect()}  # two rows
     if 0 in laws and 1 in laws:
