@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.llm.mixing import op10_pivotal_mix
+from corpusmill.llm.ngramjoin import op9_ngram_jaccard
 from corpusmill.llm.packing import op5_best_fit_packing
 from corpusmill.llm.pii import op1_pii_bootstrap
 from corpusmill.llm.secrets import op3_secret_grammar
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_secret_grammar": op3_secret_grammar,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
