@@ -260,6 +260,22 @@ def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     return found.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each class, with the table's columns: the least id (a null one last), then the first row read.
+
+    Texts without words are classes of their own and stay.
+    """
+    names = docs.columns
+    held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("place")), "documents")
+    # The place stands for the id, so repeated and null ids stay apart.
+    found, _, classes = join(held.select(F.col("place").alias("doc_id"), F.col("doc.text").alias("text")), words, threshold)
+    ids = held.select(F.col("place"), F.col("doc.doc_id").cast("long").alias("id"))
+    grouped = found.join(classes, "node", "left").select(F.col("doc_id").alias("place"), "node", F.coalesce("component", "node").alias("c")).join(ids, "place")
+    first = grouped.where("node is not null").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("r")).select("r.place")
+    stay = first.unionByName(grouped.where("node is null").select("place"))
+    return held.join(stay, "place", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near duplicates over all of ``documents``."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
