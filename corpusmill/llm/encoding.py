@@ -86,6 +86,14 @@ class PieceEncoder:
             return b"".join([self._part(p) for p in _WORD_PATTERN.findall(self.tokenizer.normalizer.normalize_str(piece))])
         return b"".join([self._part(p) for p in _BYTE_PATTERN.findall(" " + piece)])
 
+    def count_after_space(self, words: list[str]) -> int | None:
+        """Ids of pieces that follow spaces, in number; None if they can't be cut there."""
+        memo = self.memo
+        for w in set(words).difference(memo):
+            memo[w] = self._piece(w)
+        found = list(map(memo.__getitem__, words))
+        return None if None in found else sum(map(len, found)) // 2
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one whole text; null is the empty text."""
         if not text:
