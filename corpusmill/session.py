@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -54,6 +55,20 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches than the default 10,000 rows, as whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > 2000:
+        spark.conf.set(key, "2000")
+    return spark
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now rather than at its next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the workers if they wouldn't find it by themselves."""
     sc = spark.sparkContext
