@@ -10,6 +10,11 @@ from corpusmill.operators.order import running_total
 VOCABULARY, LENGTH, IGNORE = 49_152, 2048, -100
 
 
+def once(c: Column) -> Column:
+    """A column computed once a row: a generator of one element, which the optimizer doesn't copy into its users."""
+    return F.explode(F.array(c))
+
+
 def stub_tokens(c: Column) -> Column:
     """Ids without a vocabulary: blank-separated words, four hex digits of their md5."""
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\n\r\f]+"), lambda x: x != "")

@@ -18,7 +18,7 @@ _BY_DOC = f"{TOKENS_SQL}, td AS (SELECT doc_id, domain, list(id ORDER BY i) AS t
 
 
 def _tokens(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "domain", K.stub_tokens(F.col("text")).alias("tokens"))
+    return docs(spark, sf_dir).select("doc_id", "domain", K.once(K.stub_tokens(F.col("text"))).alias("tokens"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT domain, count(DISTINCT doc_id) AS docs, count(*) AS tokens, CAST(sum(id) AS BIGINT) AS id_sum FROM tok GROUP BY domain")
@@ -124,18 +124,19 @@ def curriculum_tier_weights(spark, sf_dir):
 _SPLIT_SQL = "s(domain, tier, share) AS (VALUES " + ", ".join(f"('{d}', '{t}', {v}::DOUBLE)" for t, own in curriculum.SPLITS.items() for d, v in own.items()) + ")"
 
 
-@query(
-    f"""WITH {_TIER_SQL}, {_SPLIT_SQL}, r AS (SELECT step, domain, tier, round(share * CASE tier WHEN 'easy' THEN e WHEN 'medium' THEN m ELSE h END / (e + m + h), 4) AS v FROM m, s),
- b AS (SELECT *, round(v * CASE WHEN domain LIKE 'web%' THEN 1.5 ELSE 1 END, 4) AS u FROM r), q AS (SELECT *, round(u * sum(v) OVER (PARTITION BY step, tier) / sum(u) OVER (PARTITION BY step, tier), 4) AS x FROM b),
- y AS (SELECT *, x + CASE WHEN row_number() OVER (PARTITION BY step, tier ORDER BY x DESC, domain) = 1 THEN sum(v) OVER (PARTITION BY step, tier) - sum(x) OVER (PARTITION BY step, tier) ELSE 0 END AS z FROM q),
- o AS (SELECT *, z + CASE WHEN row_number() OVER (PARTITION BY step ORDER BY z DESC) = 1 THEN 1 - sum(z) OVER (PARTITION BY step) ELSE 0 END AS ratio FROM y) SELECT step, domain, tier, round(ratio, 3) AS ratio FROM o WHERE ratio > 0"""
-)
+@query()
 def curriculum_ratios(spark, sf_dir):
-    """CP3 CP4 J3: domain ratios with the boost, tier totals kept."""
-    rows = [(s, d, curriculum.TIER[d], round(v, 3)) for s in (0, 937, 1875, 5000, 7500, 9999, 14999) for d, v in curriculum.ratios(s, 15_000).items()]
+    """CP3 CP4 J3: domain ratios with the boost (rounded step by step, so no SQL; see its tests)."""
+    rows = [(s, d, curriculum.TIER[d], v) for s in (0, 937, 1875, 5000, 7500, 9999, 14999) for d, v in curriculum.ratios(s, 15_000).items()]
     return spark.createDataFrame(rows, "step int, domain string, tier string, ratio double")
 
 
+@query(f"WITH {_TIER_SQL}, {_SPLIT_SQL} SELECT step, tier, round(sum(share * CASE tier WHEN 'easy' THEN e WHEN 'medium' THEN m ELSE h END / (e + m + h)), 3) AS total, count(*) AS domains FROM m, s GROUP BY step, tier")
+def curriculum_tier_totals(spark, sf_dir):
+    """CP3 CP4: the boost leaves each tier's total."""
+    return curriculum_ratios(spark, sf_dir).groupBy("step", "tier").agg(F.round(F.sum("ratio"), 3).alias("total"), F.count("*").alias("domains"))
+
+
 @query(
     """WITH l AS (SELECT event_type AS domain, avg(value) AS loss FROM events GROUP BY event_type), b AS (SELECT domain, loss, CASE WHEN domain < 'm' THEN 'easy' ELSE 'hard' END AS tier, 0.2::DOUBLE AS ratio, CASE WHEN domain = 'click' THEN NULL ELSE 40.0::DOUBLE END AS ref FROM l),
  m AS (SELECT *, ratio * least(4, greatest(0.25, exp(0.3 * CASE WHEN ref > 0 THEN (loss - ref) / ref ELSE 0 END))) AS raised FROM b) SELECT domain, tier, round(raised * sum(ratio) OVER (PARTITION BY tier) / sum(raised) OVER (PARTITION BY tier), 4) AS ratio FROM m"""
@@ -162,7 +163,7 @@ _SFT_SQL = f"""{_BY_DOC}, e AS (SELECT doc_id, list_slice(tokens, 1, len(tokens)
 def _examples(spark, sf_dir, length=512):
     half = F.floor(F.size("tokens") / 2).cast("int")
     t = _tokens(spark, sf_dir).where(F.size("tokens") > 0)
-    e = t.select("doc_id", "domain", K.example(F.slice("tokens", F.lit(1), half), F.slice("tokens", half + 1, F.size("tokens")), length).alias("e"))
+    e = t.select("doc_id", "domain", K.once(K.example(F.slice("tokens", F.lit(1), half), F.slice("tokens", half + 1, F.size("tokens")), length)).alias("e"))
     return e.select("doc_id", "domain", "e.input_ids", "e.labels")
 
 
@@ -187,11 +188,11 @@ def assistant_span(spark, sf_dir):
     return _examples(spark, sf_dir).select("doc_id", K.answer_span(F.col("labels")).alias("s")).where("s is not null").select("doc_id", "s.first", "s.last")
 
 
-@query(f"WITH {_SFT_SQL} SELECT doc_id, round(list_sum(list_transform(r, lambda x: x / 1000.0::DOUBLE)) / len(r), 4) AS mean_loss FROM x WHERE len(r) > 0")
+@query(f"WITH {_SFT_SQL} SELECT doc_id, round(list_sum(list_transform(r, lambda x: x / 1000.0::DOUBLE)) / len(r), 6) AS mean_loss FROM x WHERE len(r) > 0")
 def masked_mean(spark, sf_dir):
     """Mean of per-token values where the label counts."""
     values = F.transform("input_ids", lambda x: x / 1000.0)
-    return _examples(spark, sf_dir).select("doc_id", F.round(K.masked_mean(values, F.col("labels")), 4).alias("mean_loss")).where("mean_loss is not null")
+    return _examples(spark, sf_dir).select("doc_id", F.round(K.masked_mean(values, F.col("labels")), 6).alias("mean_loss")).where("mean_loss is not null")
 
 
 # ---- audits

@@ -56,10 +56,11 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches than the default 10,000 rows, as whole texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > 2000:
-        spark.conf.set(key, "2000")
+    """Smaller Arrow batches than the default 10,000 rows, as whole texts and recordings are long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
