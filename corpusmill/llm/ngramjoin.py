@@ -2,8 +2,9 @@
 
 Two sets whose Jaccard similarity reaches the threshold share a token among the first ``n - ceil(t n) + 1`` of each
 under *any* global order of tokens.  Candidates come from the first order - the hashes of tokens, but with the
-``HEAVY`` most frequent tokens last, so that shared passages rarely stand in a prefix - with length and position
-bounds; the prefixes under two more orders must intersect as well before a pair's whole overlap is counted.
+``HEAVY`` most frequent tokens last, so that shared passages rarely stand in a prefix - with bounds on
+lengths and on the number of shared prefix tokens; the prefixes under two more orders must intersect as well before
+a pair's whole overlap is counted.
 
 Equal sets are one node from the start.  Links are found in two rounds, so that groups of near copies aren't
 expanded into all pairs: first each node of a prefix token meets its neighbour by size and the smallest one of the
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpusmill.llm.components import connected_components
-from corpusmill.session import materialize
+from corpusmill.llm.memos import claim
+from corpusmill.session import lean, materialize, release
 
 WORDS, THRESHOLD = 5, 75
 HEAVY, TASK_HEAVY, BITMAP_BITS = 65_536, 4096, 23
@@ -40,15 +42,12 @@ _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 700_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_WORD_HASHES = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,7 +60,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORD_HASHES.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(claim("words", _Hashes).__getitem__, own), np.uint64, len(own))
     if len(h) < words:
         return mixed(np.array([np.sum(h * _FACTORS[: len(h)]) + np.uint64(len(h))], np.uint64))
     total = np.zeros(len(h) - words + 1, np.uint64)
@@ -152,14 +151,21 @@ def heavy_tokens(docs: DataFrame, words: int = WORDS, most: int = HEAVY) -> np.n
     return np.sort(np.array([r["token"] for r in top], np.int64).astype(np.uint64))
 
 
-def _fits(n: Column, at: Column, m: Column, to: Column, threshold: int) -> Column:
-    """Length and position bounds of two sets that share a token at places ``at`` and ``to`` (from 0)."""
-    need = F.lit(threshold) * (n + m)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (F.least(n - at, m - to) * (100 + threshold) >= need)
+def _candidates(met: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes whose shared prefix tokens allow the threshold, from ``token, x, n, y, m`` rows.
+
+    Past the earlier end of two prefixes at most ``ceil(t n) - 1`` tokens of a set are left, so those and the shared
+    prefix tokens must reach the least overlap.
+    """
+    ordered = met.where("x <> y").select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("n", "m").alias("big"), F.least("n", "m").alias("small"))
+    counts = ordered.groupBy("a", "b", "big", "small").agg(F.count("*").alias("c"))
+    left = F.floor((F.col("big") * threshold + 99) / 100) - 1
+    return counts.where((F.col("c") + left) * (100 + threshold) >= threshold * (F.col("big") + F.col("small"))).select("a", "b")
 
 
-def _pairs(table: DataFrame, a: str, b: str) -> DataFrame:
-    return table.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+def _alike(n: str, m: str, threshold: int) -> Column:
+    """Sizes that allow the threshold."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
 
 def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -190,8 +196,8 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, thre
 
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     keyed = _texts(docs).select(key.alias("key"), "text").select("key", slot.alias("slot"), "text")
-    made = keyed.mapInArrow(sets, "key long, node long, tokens binary").join(wanted, ["key", "node"], "left_semi")
-    made = materialize(made.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    # Repeated rows of an id give a set twice and a link twice, which changes nothing.
+    made = materialize(keyed.mapInArrow(sets, "key long, node long, tokens binary").where("node is not null").select("node", "tokens"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,45 +216,53 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, thre
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents ``doc_id, n_shingles, node``; links ``a, b`` between nodes; components ``node, component``."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     heavy = spark.sparkContext.broadcast(heavy_tokens(docs, words))  # at most HEAVY
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int | None] = set()
         for b in batches:
             n, names, tokens = [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
+                name = node_of(s) if len(s) else None
+                # A task gives the tokens of equal sets once.
+                tokens.append(prefix(s, heavy.value, threshold).astype(np.int64) if len(s) and name not in met else np.empty(0, np.int64))
+                met.add(name)
                 n.append(len(s))
-                names.append(node_of(s) if len(s) else None)
-                tokens.append(prefix(s, heavy.value, threshold).astype(np.int64) if len(s) else np.empty(0, np.int64))
+                names.append(name)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "tokens"])
 
-    found = materialize(_texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, node long, tokens array<long>").withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    one = found.where("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "row")).alias("r"))
-    nodes = materialize(one.select("node", "r.key", "r.row"), "nodes")
-    own = found.join(nodes.select("row"), "row", "left_semi")
-    postings = own.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    found = materialize(_texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, node long, tokens array<long>"), "prefixes")
+    nodes = materialize(found.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key")), "nodes")
+    postings = found.select(F.col("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("tokens").alias("token"))
 
     order = Window.partitionBy("token").orderBy("n", "node")
-    near = lambda f: [f("node").over(order), f("n").over(order), f("at").over(order)]
-    lag, lead, first = near(F.lag), F.lead("node").over(order), [F.first(c).over(order) for c in ("node", "n", "at")]
-    held = postings.select("token", "node", "n", "at", F.struct(lag[0].alias("node"), lag[1].alias("n"), lag[2].alias("at")).alias("before"), F.struct(first[0].alias("node"), first[1].alias("n"), first[2].alias("at")).alias("least"), lead.alias("after"))
-    shared = materialize(held.where("before.node is not null or after is not null"), "shared")
-
-    met = shared.select("node", "n", "at", F.explode(F.array("before", "least")).alias("o")).where("o.node is not null")
-    tried = materialize(_pairs(met.where(_fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), threshold)).select("node", F.col("o.node").alias("other")), "node", "other"), "pairs")
+    near = lambda f: F.struct(f("node").over(order).alias("node"), f("n").over(order).alias("n"))
+    held = postings.select("token", "node", "n", near(F.lag).alias("before"), near(F.first).alias("least"), F.lead("node").over(order).alias("after"))
+    # Equal sets of other tasks follow each other; the first stands for them.
+    fresh = F.col("before.node").isNull() | (F.col("before.node") != F.col("node"))
+    shared = materialize(held.where(fresh & (F.col("before.node").isNotNull() | F.col("after").isNotNull())).drop("after"), "shared")
+    release(spark)
+
+    # Of a token's neighbours by size and its smallest set; the same one counts once.
+    ends = F.array_distinct(F.array("before", "least"))
+    met = shared.select("token", F.col("node").alias("x"), "n", F.explode(ends).alias("o")).select("token", "x", "n", F.col("o.node").alias("y"), F.col("o.n").alias("m")).where(F.col("y").isNotNull() & _alike("n", "m", threshold))
+    tried = materialize(_candidates(met, threshold), "pairs")
     links = materialize(verified(docs, nodes, tried, words, threshold), "links")
     classes = connected_components(links)
+    release(spark)
 
-    known = shared.select("token", "node", "n", "at").join(classes, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    known = shared.select("token", "node", "n").join(classes, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     known = materialize(known, "postings")
     sizes = known.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("token", F.col("m.c").alias("major"))
-    minor = known.join(sizes, "token").where("c <> major").select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), "major")
-    across = known.join(minor, "token").where((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("major")) | (F.col("node") < F.col("node2"))) & _fits(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), threshold))
-    rest = materialize(_pairs(across, "node", "node2").join(tried, ["a", "b"], "left_anti"), "pairs")
+    minor = known.join(sizes, "token").where("c <> major").select("token", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("c2"), "major")
+    across = known.withColumnRenamed("node", "x").join(minor, "token").where((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("major")) | (F.col("x") < F.col("y"))) & _alike("n", "m", threshold))
+    rest = materialize(_candidates(across.select("token", "x", "n", "y", "m"), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    release(spark)
     more = verified(docs, nodes, rest, words, threshold)
     links = materialize(links.unionByName(more), "links")
-    return found.select("doc_id", "n_shingles", "node", "row"), links, connected_components(links)
+    return found.select("doc_id", "n_shingles", "node"), links, connected_components(links)
 
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
