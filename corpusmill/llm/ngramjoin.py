@@ -6,10 +6,11 @@ under *any* global order of tokens.  Candidates come from the first order - the
 lengths and on the number of shared prefix tokens; the prefixes under two more orders must intersect as well before
 a pair's whole overlap is counted.
 
-Equal sets are one node from the start.  Links are found in two rounds, so that groups of near copies aren't
+Equal sets are one node from the start.  Links are found in rounds, so that groups of near copies aren't
 expanded into all pairs: first each node of a prefix token meets its neighbour by size and the smallest one of the
-token, and components of the verified links are found; then, for tokens that still join several components, every
-pair across components is a candidate, except that the largest component of a token isn't paired with itself.
+token, then neighbours of other components in random orders, and components of the verified links are found; then,
+for tokens that still join several components, every pair across components is a candidate, except that the largest
+component of a token isn't paired with itself.
 Every pair that reaches the threshold is inside a component or verified, so components are exact.
 
 Defined results: words are runs of other characters than ASCII blanks, lower-cased A-Z; fewer words than ``n`` make
@@ -35,7 +36,7 @@ from corpusmill.llm.memos import claim
 from corpusmill.session import lean, materialize, release
 
 WORDS, THRESHOLD = 5, 75
-HEAVY, TASK_HEAVY, BITMAP_BITS = 65_536, 4096, 23
+HEAVY, TASK_HEAVY, BITMAP_BITS, ROUNDS, BESIDE = 262_144, 16_384, 23, 2, 6
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2127599BF4325C37, 0x880355F21E6D1965], np.uint64)
 
@@ -151,16 +152,18 @@ def heavy_tokens(docs: DataFrame, words: int = WORDS, most: int = HEAVY) -> np.n
     return np.sort(np.array([r["token"] for r in top], np.int64).astype(np.uint64))
 
 
-def _candidates(met: DataFrame, threshold: int) -> DataFrame:
+def _candidates(met: DataFrame, threshold: int, part: float = 1.0) -> DataFrame:
     """Pairs ``a, b`` of nodes whose shared prefix tokens allow the threshold, from ``token, x, n, y, m`` rows.
 
     Past the earlier end of two prefixes at most ``ceil(t n) - 1`` tokens of a set are left, so those and the shared
-    prefix tokens must reach the least overlap.
+    prefix tokens must reach the least overlap.  Where ``met`` has only some of a pair's tokens, a ``part`` of the
+    least count is asked for.
     """
     ordered = met.where("x <> y").select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.greatest("n", "m").alias("big"), F.least("n", "m").alias("small"))
     counts = ordered.groupBy("a", "b", "big", "small").agg(F.count("*").alias("c"))
     left = F.floor((F.col("big") * threshold + 99) / 100) - 1
-    return counts.where((F.col("c") + left) * (100 + threshold) >= threshold * (F.col("big") + F.col("small"))).select("a", "b")
+    need = F.lit(threshold) * (F.col("big") + F.col("small")) - left * (100 + threshold)
+    return counts.where(F.col("c") * (100 + threshold) >= need * part).select("a", "b")
 
 
 def _alike(n: str, m: str, threshold: int) -> Column:
@@ -250,11 +253,24 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
     met = shared.select("token", F.col("node").alias("x"), "n", F.explode(ends).alias("o")).select("token", "x", "n", F.col("o.node").alias("y"), F.col("o.n").alias("m")).where(F.col("y").isNotNull() & _alike("n", "m", threshold))
     tried = materialize(_candidates(met, threshold), "pairs")
     links = materialize(verified(docs, nodes, tried, words, threshold), "links")
-    classes = connected_components(links)
-    release(spark)
+    for turn in range(ROUNDS + 1):
+        classes = connected_components(links)
+        release(spark)
+        known = shared.select("token", "node", "n").join(classes, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+        known = materialize(known, "postings")
+        if turn == ROUNDS:
+            break
+        # Neighbours of other classes in a random order, the same for all tokens.
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        near = F.array(*[F.struct(*[F.lag(k, far).over(order).alias(v) for k, v in (("node", "y"), ("n", "m"), ("c", "d"))]) for far in range(1, BESIDE + 1)])
+        beside = known.select("token", F.col("node").alias("x"), "n", "c", near.alias("near")).select("token", "x", "n", "c", F.explode(F.filter("near", lambda o: o["d"].isNotNull())).alias("o"))
+        beside = beside.select("token", "x", "n", "c", "o.y", "o.m", "o.d").where((F.col("c") != F.col("d")) & _alike("n", "m", threshold))
+        new = materialize(_candidates(beside, threshold, 0.5).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            break
+        tried = tried.unionByName(new)
+        links = materialize(links.unionByName(verified(docs, nodes, new, words, threshold)), "links")
 
-    known = shared.select("token", "node", "n").join(classes, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
-    known = materialize(known, "postings")
     sizes = known.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("classes")).where("classes > 1").select("token", F.col("m.c").alias("major"))
     minor = known.join(sizes, "token").where("c <> major").select("token", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("c2"), "major")
     across = known.withColumnRenamed("node", "x").join(minor, "token").where((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("major")) | (F.col("x") < F.col("y"))) & _alike("n", "m", threshold))
