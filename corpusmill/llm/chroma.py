@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize
+from corpusmill.session import lean, materialize
 
 RATE, FRAME, HOP, WIDTH, LOW, HIGH = 11_025, 4096, 1365, 16, 28.0, 3520.0
 MIN_COMMON, MAX_ERROR = 3, 0.25
@@ -132,6 +132,7 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
             out = [fingerprint(a.as_py()).astype(np.int64) for a in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "prints"])
 
+    lean(recordings.sparkSession)
     return recordings.select(F.col("id").cast("long").alias("id"), "audio").mapInArrow(make, "id long, prints array<long>")
 
 
@@ -162,7 +163,7 @@ def tones(vectors: DataFrame) -> DataFrame:
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = RATE // 16
         t = np.arange(step) / RATE
-        for b in batches:
+        for b in (b.slice(k, 50) for b in batches for k in range(0, b.num_rows, 50)):
             out = []
             for v in b.column(1):
                 values = np.array([x for x in (v.as_py() or []) if x is not None and np.isfinite(x)], float)
