@@ -15,6 +15,8 @@ import os
 import numpy as np
 import regex
 
+from corpusmill.llm.memos import claim
+
 #: Entries a worker's memo holds before it starts anew; a bound on memory, not on what is encoded.
 MEMO_ENTRIES = 900_000
 
@@ -113,11 +115,6 @@ class PieceEncoder:
             return self.whole(text)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return claim(f"encoder {path}", lambda: PieceEncoder(path))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.encoding import encoder, vocabulary_path
-from corpusmill.session import fresh_path, materialize
+from corpusmill.session import fresh_path, lean, materialize
 
 NULL_ID = -(2**63)
 _MANIFEST = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())])
@@ -72,7 +72,7 @@ def crc32_of(ids: np.ndarray) -> int:
 
 def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 0) -> tuple[str, DataFrame]:
     """Encodes ``doc_id, text`` and writes the files below ``path``; returns it and the manifest with bases."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     path = path or fresh_path(spark, "tokens")
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
 
