@@ -109,8 +109,10 @@ def base_spans(text: str | None) -> list[Span]:
 
 
 def _shape(word: str) -> str:
-    """Coarse shape: which of letters, digits and signs a word has."""
-    return ("@" if "@" in word else "") + ("_" if "_" in word else "") + ("a" if any(map(str.isalpha, word)) else "") + ("9" if any(map(str.isdigit, word)) else "")
+    """Coarse shape: an address, or which of letters, digits and underlines a word has."""
+    if "@" in word:
+        return "@"
+    return ("_" if "_" in word else "") + ("a" if any(map(str.isalpha, word)) else "") + ("9" if any(map(str.isdigit, word)) else "")
 
 
 def _around(text: str, start: int, stop: int) -> tuple[str, str, str]:
