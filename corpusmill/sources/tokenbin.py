@@ -31,6 +31,12 @@ class TokenBin(DataSource):
         return _Writer(self.options)
 
 
+def register(spark) -> None:
+    """Makes ``spark.read.format("tokenbin")`` known, with filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TokenBin)
+
+
 @dataclass
 class _Shard(InputPartition):
     path: str
@@ -45,7 +51,7 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if getattr(f, "attribute", None) == ("seq_id",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("seq_id",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     self.first = max(self.first, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
