@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.session import lean
+
 CLASS_ROWS, LEXICON, THRESHOLD = 8192, 60_000, 0.3
 PRIOR, ENOUGH, LEAST, REPEATS, LEVELS = 4.0, 10.0, 0.7, 2, (3, 4, 5, 6, 7, 8)
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&"
@@ -64,12 +66,14 @@ class Lexicon:
 
     def log_odds(self, word: str) -> float:
         """Evidence of toxic text, 0 or more."""
+        if not (self.toxic and self.clean):
+            return 0.0
         q, out = 0.5, 0.0
         for f in features(word):
             c1, c0 = self.counts.get(f, (0, 0))
             n1, n0 = c1, c0 * self.toxic / self.clean
             a, b = PRIOR * q + n1, PRIOR * (1 - q) + n0
-            q = a / (a + b)
+            q = min(1 - 1e-6, max(1e-6, a / (a + b)))
             if n1 + n0 >= ENOUGH:
                 out = math.log(a / b) - math.sqrt(1 / (a + 1) + 1 / (b + 1))
         return min(6.0, out) if out >= LEAST else 0.0
@@ -78,7 +82,7 @@ class Lexicon:
         s = self.memo.get(raw)
         if s is None:
             word = plain(raw)
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 250_000:
                 self.memo.clear()
             s = self.memo[raw] = (self.log_odds(word) if word else 0.0) - self.drift
         return s
@@ -148,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     pick = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows) for k in (0, 1)]
     ids = [(r["doc_id"], r["toxic"]) for p in pick for r in p.collect()]  # at most two samples
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     if not ids:
         return Lexicon({}, 0, 0)
     sample = spark.createDataFrame(ids, "id long, toxic int")
