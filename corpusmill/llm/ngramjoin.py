@@ -148,8 +148,8 @@ def heavy_tokens(docs: DataFrame, words: int = WORDS, most: int = HEAVY) -> np.n
         yield pa.RecordBatch.from_arrays([pa.array(np.array([t for t, _ in top], np.uint64).astype(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["token", "n"])
 
     counts = _texts(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).select("token").collect()  # at most ``most`` rows
-    return np.sort(np.array([r["token"] for r in top], np.int64).astype(np.uint64))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()  # at most ``most`` rows
+    return np.sort(np.asarray(top.column("token")).astype(np.uint64))
 
 
 def _candidates(met: DataFrame, threshold: int, part: float = 1.0) -> DataFrame:
@@ -182,8 +182,8 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, thre
     slot = F.pmod(F.xxhash64("key"), F.lit(1 << BITMAP_BITS))
     bits = wanted.select(slot.alias("slot")).selectExpr("shiftright(slot, 5) word", "shiftleft(1L, cast(slot % 32 as int)) bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    for r in bits.collect():  # at most 2**18 words
-        bitmap[r["word"]] = r["bits"]
+    found = bits.toArrow()  # at most 2**18 rows
+    bitmap[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
