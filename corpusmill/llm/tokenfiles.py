@@ -116,7 +116,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                         [pa.array(np.array(own), mask=np.array(own == NULL_ID)), pa.array(edges[:-1] + row["base"]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=_READ
                     )
 
-    files = manifest.select("part", "base").repartition("part")
+    files = manifest.select("part", "base").repartition(max(1, manifest.count()))  # a task for each file
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
