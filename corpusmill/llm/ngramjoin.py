@@ -147,8 +147,16 @@ def heavy_tokens(docs: DataFrame, words: int = WORDS, most: int = HEAVY) -> np.n
         top = tally.most_common(TASK_HEAVY)
         yield pa.RecordBatch.from_arrays([pa.array(np.array([t for t, _ in top], np.uint64).astype(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["token", "n"])
 
-    counts = _texts(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()  # at most ``most`` rows
+    counts = _texts(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = materialize(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "frequent")
+    # The least level from which on all tokens fit; a table of at most 1,024 levels.
+    sizes, least, held = counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect(), 1 << 20, 0
+    for r in sizes:
+        held += r["k"]
+        if held > most:
+            break
+        least = r["level"]
+    top = counts.where(F.col("level") >= least).select("token").toArrow()  # at most ``most`` rows
     return np.sort(np.asarray(top.column("token")).astype(np.uint64))
 
 
