@@ -3,12 +3,14 @@
 Format matches are the labelled credentials.  For each kind a sample of at most ``SAMPLE`` distinct ones (the
 first by hash; the documented bound of the fit) becomes a prefix tree over character classes, whose states are
 merged where their outgoing and ending frequencies agree within the Hoeffding bound, red-blue order, folding
-subtrees so that the automaton stays deterministic.  Every candidate word of every text - 16 to 128 characters
-of ``A-Za-z0-9+/_=-`` with a digit and a letter, outside the format matches - is scored by its mean
-log-likelihood a character under each automaton and becomes a further span if it is as likely as nearly all
-credentials of that kind.
+subtrees so that the automaton stays deterministic.  Every maximal run of 6 or more characters of
+``A-Za-z0-9+/_.=-`` outside the format matches, however long, is scored by its mean log-likelihood a character
+under each automaton and becomes a further span if it is as likely as nearly all credentials of that kind; a run
+that isn't is scored without the dots at its ends, then in its parts between dots.
 
-The sample and the automata have fixed bounds; all texts and all candidates are scanned and scored.
+The sample and the automata have fixed bounds; all texts and all candidates are scanned and scored.  Credentials
+of any length train: the first ``DEPTH`` characters make the tree, the next ones, to ``FIT`` in all, are counted on
+the merged automaton.
 
 Defined results: a null text is empty; null or repeated ``doc_id`` values give a row each; an empty table gives
 no row; a kind without credentials has no automaton and adds nothing.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,13 +32,16 @@ from corpusmill.llm.spans import SPANS, digests
 
 KINDS = ("assign", "access", "hex")
 SAMPLE, CONFIDENCE, TAIL, FLOOR = 384, 0.05, 0.02, 1e-4
+LEAST, DEPTH, FIT = 6, 256, 4096
 
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)", re.IGNORECASE | re.ASCII)
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_CLASSES = str.maketrans({c: "0" if c.isdigit() else "a" if c in "abcdef" else "z" if c.islower() else "A" if c in "ABCDEF" else "Z" for c in string.ascii_letters + string.digits})
 _END = "$"
+_UNMET = math.log(FLOOR)
 
 Span = tuple[int, int, int]
 
@@ -56,7 +62,7 @@ def base_matches(text: str | None) -> list[tuple[int, int, int, str]]:
 
 def classes(word: str) -> str:
     """A word's characters by class: digit 0, a-f a, other small letters z, A-F A, other capitals Z, signs as they are."""
-    return "".join("0" if "0" <= c <= "9" else "a" if "a" <= c <= "f" else "z" if "a" <= c <= "z" else "A" if "A" <= c <= "F" else "Z" if "A" <= c <= "Z" else c for c in word)
+    return word.translate(_CLASSES)
 
 
 class Automaton:
@@ -70,13 +76,17 @@ class Automaton:
         for w in words:
             self._add(classes(w))
         self._merge_all()
+        for w in words:
+            if len(w) > DEPTH:
+                self._count_rest(classes(w))
+        self.steps = [{c: (math.log(max(x / n, FLOOR)), to.get(c)) for c, x in seen.items()} for n, seen, to in zip(self.count, self.seen, self.next)]
         own = sorted(self.score(w) for w in words)
         self.least = own[int(TAIL * len(own))] - 0.05 if own else math.inf
 
     def _add(self, word: str) -> None:
         state = 0
         self.count[0] += 1
-        for c in word:
+        for c in word[:DEPTH]:
             self.seen[state][c] += 1
             if c not in self.next[state]:
                 self.next[state][c] = len(self.next)
@@ -85,7 +95,20 @@ class Automaton:
                 self.seen.append(Counter())
             state = self.next[state][c]
             self.count[state] += 1
-        self.seen[state][_END] += 1
+        if len(word) <= DEPTH:
+            self.seen[state][_END] += 1
+
+    def _count_rest(self, word: str) -> None:
+        """Counts what is beyond the tree's depth; a step that no state has leads back to its state."""
+        state = 0
+        for c in word[:DEPTH]:
+            state = self.next[state][c]
+        for c in word[DEPTH:]:
+            self.seen[state][c] += 1
+            state = self.next[state].setdefault(c, state)
+            self.count[state] += 1
+        if len(word) < FIT:
+            self.seen[state][_END] += 1
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether all frequencies below two states agree; a loop, as trees can be deep."""
@@ -137,15 +160,22 @@ class Automaton:
                 red.append(x)
 
     def score(self, word: str) -> float:
-        """Mean log-likelihood a character, the end included; what was never met has a small likelihood."""
+        """Mean log-likelihood a character, the end included; what a state never met has a small likelihood and stays there."""
+        return self._total(classes(word), -math.inf) / (len(word) + 1)
+
+    def margin(self, shape: str) -> float:
+        """How far the score of a word of these classes is above the least of a credential; negative if below."""
+        return self._total(shape, self.least * (len(shape) + 1)) / (len(shape) + 1) - self.least
+
+    def _total(self, shape: str, enough: float) -> float:
+        """Log-likelihood of a word; no step adds to it, so it ends once it is under ``enough``."""
         state, total = 0, 0.0
-        for c in classes(word) + _END:
-            if state is None:
-                total += math.log(FLOOR)
-                continue
-            total += math.log(max(self.seen[state][c] / self.count[state], FLOOR))
-            state = self.next[state].get(c) if c != _END else None
-        return total / (len(word) + 1)
+        for c in shape:
+            p, state = self.steps[state].get(c, (_UNMET, state))
+            total += p
+            if total < enough:
+                return -math.inf
+        return total + self.steps[state].get(_END, (_UNMET, state))[0]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[int, Automaton]:
@@ -153,7 +183,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[int, Automaton]:
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = {(k, v[:256]) for t in b.column(0) for _, k, _, v in base_matches(t.as_py()) if len(v) <= 256}
+            got = {(k, v[:FIT]) for t in b.column(0) for _, k, _, v in base_matches(t.as_py())}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([v for _, v in got], pa.string())], names=["kind", "value"])
 
     values = docs.select(F.col("text").cast("string")).mapInArrow(labelled, "kind int, value string").distinct()
@@ -164,21 +194,65 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[int, Automaton]:
     return {k: Automaton(sorted(v)) for k, v in held.items()}
 
 
-def spans_of(text: str | None, automata: dict[int, Automaton]) -> tuple[list[Span], list[Span]]:
+class Judge:
+    """The kind of a word by the automata, kept for the short words that texts repeat."""
+
+    def __init__(self, automata: dict[int, Automaton]):
+        self.automata = automata
+        self.memo: dict[str, tuple[float, int]] = {}
+
+    def margin(self, word: str) -> tuple[float, int]:
+        """The best automaton's margin, negative if none accepts the word, and its kind."""
+        if len(word) > 32:
+            return self._margin(word)
+        out = self.memo.get(word)
+        if out is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            out = self.memo[word] = self._margin(word)
+        return out
+
+    def _margin(self, word: str) -> tuple[float, int]:
+        shape = classes(word)
+        best, kind = max(((a.margin(shape), -k) for k, a in self.automata.items()), default=(-1.0, 0))
+        return best, -kind
+
+    def spans(self, text: str, start: int, stop: int) -> list[Span]:
+        """The run with or without the dots at its ends, as is likelier, else its parts between dots."""
+        if stop - start < LEAST:
+            return []
+        word = text[start:stop]
+        margin, kind = self.margin(word)
+        if "." not in word:
+            return [(start, kind, stop)] if margin >= 0 else []
+        inner = word.strip(".")
+        at = start + word.find(inner)
+        if LEAST <= len(inner) < len(word) and (own := self.margin(inner))[0] > margin:
+            (margin, kind), start, stop = own, at, at + len(inner)
+        if margin >= 0:
+            return [(start, kind, stop)]
+        out = []
+        for part in inner.split("."):
+            if len(part) >= LEAST and (own := self.margin(part))[0] >= 0:
+                out.append((at, own[1], at + len(part)))
+            at += len(part) + 1
+        return out
+
+
+def spans_of(text: str | None, judge: Judge) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, of a text."""
     base = [(s, k, e) for s, k, e, _ in base_matches(text)]
     more, at = [], 0
-    for m in _CANDIDATE.finditer(text or ""):
-        word = m[0]
-        if len(word) > 128 or word.isalpha() or not any(map(str.isdigit, word)) or not any(map(str.isalpha, word)):
-            continue
-        while at < len(base) and base[at][2] <= m.start():
+    for m in _CANDIDATE.finditer(text or "") if judge.automata else ():
+        start, stop = m.span()
+        while at < len(base) and base[at][2] <= start:
             at += 1
-        if any(s < m.end() and e > m.start() for s, _, e in base[at : at + 4]):
-            continue
-        likely = [(a.score(word) - a.least, -k) for k, a in automata.items()]
-        if likely and max(likely)[0] >= 0:
-            more.append((m.start(), -max(likely)[1], m.end()))
+        for k in range(at, len(base)):
+            if base[k][0] >= stop:
+                break
+            more += judge.spans(text, start, base[k][0])
+            start = max(start, base[k][2])
+        more += judge.spans(text, start, stop)
     return base, sorted(base + more)
 
 
@@ -189,8 +263,9 @@ def detect(docs: DataFrame, automata: dict[int, Automaton] | None = None) -> Dat
     shown = lambda spans: [{"start": s, "kind": k, "stop": e} for s, k, e in spans]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(held.value)
         for b in batches:
-            found = [spans_of(t.as_py(), held.value) for t in b.column(1)]
+            found = [spans_of(t.as_py(), judge) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shown(x) for x, _ in found], kind), pa.array([shown(x) for _, x in found], kind)], names=["doc_id", "base", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id long, base {SPANS}, spans {SPANS}")

@@ -86,3 +86,48 @@ def test_new_secret_by_likelihood(spark):
     rows = [(i, f"text AKIA{key(16)} text") for i in range(150)] + [(999, f"text ASIA{key(16)} and some-words-here-2020")]
     r = next(r for r in secrets.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 999)
     assert r["base"] == [] and [(s["start"], s["stop"]) for s in r["spans"]] == [(5, 25)]
+
+
+def test_all_runs_are_scored():
+    """Long, dotted, short, all-letter and all-digit secrets; each was cut before it came to an automaton."""
+    import random
+
+    rng = random.Random(6)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    makers = {
+        "long": lambda: make(base64, rng.randrange(300, 700)),
+        "dotted": lambda: ".".join(make(base64, 24) for _ in range(3)),
+        "short": lambda: "ab" + make("0123456789", 6) + "-x",
+        "letters": lambda: make("XYZ", 12),
+        "digits": lambda: make("0123456789", 12),
+    }
+    for name, maker in makers.items():
+        judge = secrets.Judge({0: secrets.Automaton([maker() for _ in range(200)])})
+        fresh = [maker() for _ in range(50)]
+        found = sum((5, 0, 5 + len(x)) in secrets.spans_of(f"text {x}. More plain words of english here", judge)[1] for x in fresh)
+        assert found >= 45, (name, found)
+        if name in ("short", "letters", "digits"):  # classes of base64 and of words are much alike
+            assert secrets.spans_of("some plain english sentences, without credentials.", judge)[1] == [], name
+
+
+def test_parts_between_dots_and_beside_formats_are_scored():
+    import random
+
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    judge = secrets.Judge({1: secrets.Automaton([f"AKIA{key()}" for _ in range(200)])})
+    one, two = f"ASIA{key()}", f"ASIA{key()}"
+    assert secrets.spans_of(f"host.{one}", judge)[1] == [(5, 1, 25)]
+    text = f"AKIA{key()}.{two}"
+    assert secrets.spans_of(text, judge)[1] == [(0, 1, 20), (21, 1, 41)]
+
+
+def test_long_values_train(spark):
+    import random
+
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("ghijklmnopqrstuvwxyz0123456789") for _ in range(300))
+    docs = spark.createDataFrame([(i, f"token={make()}") for i in range(100)] + [(999, f"see {make()} here")], "doc_id long, text string")
+    r = next(r for r in secrets.detect(docs).collect() if r["doc_id"] == 999)
+    assert r["base"] == [] and [(s["start"], s["stop"]) for s in r["spans"]] == [(4, 304)]
