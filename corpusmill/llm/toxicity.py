@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Fit, on a bounded sample of labelled training rows (``CLASS_ROWS`` of each label, the first by hash; ids are
-broadcast, so texts aren't shuffled): token counts of words and of their first letters in toxic and clean
-documents.  A word's log-odds come from nested Dirichlet priors - equal odds are the prior of its first three
+broadcast, so texts aren't shuffled): token counts of words, at most ``REPEATS`` a document, and of their first
+letters in toxic and clean documents.  A word's log-odds come from nested Dirichlet priors - equal odds are the prior of its first three
 letters, those of the first four, and so on to the word - read at the deepest level with enough observations and
 lowered by their standard error, so that chance counts bring nothing and a word never met is judged by its
 beginning.  The lexicon keeps the ``LEXICON`` most telling entries.
@@ -88,18 +88,12 @@ class Lexicon:
         return s
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """The walk's steps; a word's third and later occurrences bring no more evidence."""
+        """The walk's steps; every occurrence of a word counts, whatever came before it."""
         get, own = self.memo.get, self.score_of
         out = list(map(get, words))
         if None in out:
             out = [own(w) if s is None else s for w, s in zip(words, out)]
-        out = np.array(out, np.float64)
-        met: Counter = Counter()
-        for k in np.flatnonzero(out > 0).tolist():
-            met[words[k]] += 1
-            if met[words[k]] > REPEATS:
-                out[k] = -self.drift
-        return out
+        return np.array(out, np.float64)
 
     def probability(self, best: float, words: int) -> float:
         """Of a document's best segment under the two extreme-value laws."""

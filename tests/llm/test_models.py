@@ -54,6 +54,22 @@ def test_toxic_defined_cases(spark, odd_docs, no_docs, labelled):
     assert kept.columns == odd_docs.columns and kept.count() > 0
 
 
+def test_earlier_text_silences_no_passage(spark, labelled):
+    """One slur repeated, later passages with the same words, and a passage after both words were used twice."""
+    docs, labels, _ = labelled
+    lexicon = toxicity.fit(docs, labels)
+    passage, clean = ["vile", "awful", "rotten", "nasty"], [f"n{i}" for i in range(400)] * 3
+
+    def found(words, start, stop):
+        return any(e > start and f < stop for f, e, x in toxicity.segments(lexicon.scores(words)) if lexicon.probability(x, len(words)) >= toxicity.THRESHOLD)
+
+    words = [*passage, *clean, *passage, *clean, *passage]
+    assert all(found(words, k, k + 4) for k in (0, 1204, 2408))
+    used = [w for p in passage for w in (p, *clean[:100], p, *clean[100:200])]
+    assert found(used + clean + passage, len(used) + 1200, len(used) + 1204)
+    assert lexicon.scores(["vile"] * 6).min() > 0
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_segments_are_all_maximal(seed):
     """Against the definition: recursively the best segment, then what is left of it and right of it."""
