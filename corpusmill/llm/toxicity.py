@@ -5,7 +5,9 @@ broadcast, so texts aren't shuffled): token counts of words, at most ``REPEATS``
 letters in toxic and clean documents.  A word's log-odds come from nested Dirichlet priors - equal odds are the prior of its first three
 letters, those of the first four, and so on to the word - read at the deepest level with enough observations and
 lowered by their standard error, so that chance counts bring nothing and a word never met is judged by its
-beginning.  The lexicon keeps the ``LEXICON`` most telling entries.
+beginning.  What is met often in clean text keeps its own odds under a toxic beginning.  Counts are read of the
+``TABLE`` most frequent features (of a feature with fewer than ``ENOUGH`` observations they'd change nothing); the
+lexicon keeps the ``LEXICON`` entries that change most from their beginnings' odds.
 
 Score: token log-odds less a drift, the rate by which scoring tokens are denser in toxic text (a Poisson
 likelihood ratio), make a walk; a linear scan finds every maximal scoring segment of it.  A clean text's best
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import lean
+from corpusmill.session import lean, materialize
 
-CLASS_ROWS, LEXICON, THRESHOLD = 8192, 60_000, 0.3
+CLASS_ROWS, LEXICON, THRESHOLD, TABLE = 8192, 60_000, 0.3, 300_000
 PRIOR, ENOUGH, LEAST, REPEATS, LEVELS = 4.0, 10.0, 0.7, 2, (3, 4, 5, 6, 7, 8)
 _EDGE = ".,;:!?()[]{}<>\"'*#$%&"
 
@@ -51,32 +53,58 @@ def plain(raw: str) -> str:
 
 
 class Lexicon:
-    """Log-odds of words, and the calibration of their best segments."""
+    """Log-odds of words, and the calibration of their best segments.
 
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
+    ``values`` has the log-odds of each prefix and word whose own differ from what its longest kept prefix gives, an
+    explicit 0 where a prefix is toxic and what goes on from it is not.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int, entries: int = LEXICON):
         self.toxic, self.clean = toxic, clean  # tokens
-        self.counts = counts
+        self.values: dict[str, float] = {}
         self.memo: dict[str, float] = {}
         self.laws: tuple[float, float, float, float] | None = None
         self.share = self.drift = self.rate = 0.0
         if toxic and clean:
-            scoring = [counts[f] for f in counts if f[:2] == "w " and self.log_odds(f[2:]) > 0]
-            self.rate = sum(c0 for _, c0 in scoring) / clean
-            self.drift = max(sum(c1 for c1, _ in scoring) / toxic - self.rate, 0.002)
-
-    def log_odds(self, word: str) -> float:
-        """Evidence of toxic text, 0 or more."""
-        if not (self.toxic and self.clean):
-            return 0.0
-        q, out = 0.5, 0.0
-        for f in features(word):
-            c1, c0 = self.counts.get(f, (0, 0))
+            self._read(counts, entries)
+
+    def _read(self, counts: dict[str, tuple[int, int]], entries: int) -> None:
+        """Equal odds, then each prefix's as the prior of the next; and how dense scoring tokens are."""
+        state: dict[str, tuple[float, float]] = {}  # share of toxic, raw log-odds
+        own = {f: list(c) for f, c in counts.items()}  # tokens that are read at a feature
+        weight: dict[str, float] = {}
+        shown = lambda out: min(6.0, out) if out >= LEAST else 0.0
+        order = lambda f: (f[:2] == "w ", len(f))
+        for f in sorted(counts, key=order):
+            up = next((g for g in reversed(features(f[2:])[:-1]) if g in state), "")
+            q, out = state.get(up, (0.5, 0.0))
+            c1, c0 = counts[f]
             n1, n0 = c1, c0 * self.toxic / self.clean
             a, b = PRIOR * q + n1, PRIOR * (1 - q) + n0
-            q = min(1 - 1e-6, max(1e-6, a / (a + b)))
+            before = shown(out)
             if n1 + n0 >= ENOUGH:
                 out = math.log(a / b) - math.sqrt(1 / (a + 1) + 1 / (b + 1))
-        return min(6.0, out) if out >= LEAST else 0.0
+            state[f] = min(1 - 1e-6, max(1e-6, a / (a + b))), out
+            if up:
+                own[up][0] -= c1
+                own[up][1] -= c0
+            if shown(out) != before:
+                self.values[f] = shown(out)
+                weight[f] = abs(shown(out) - before) * math.sqrt(n1 + n0)
+        if len(self.values) > entries:
+            kept = sorted(self.values, key=lambda f: (-weight[f], f))[:entries]
+            self.values = {f: self.values[f] for f in kept}
+        scoring = [c for f, c in own.items() if self.read((*features(f[2:])[:-1], f)) > 0]
+        self.rate = sum(c0 for _, c0 in scoring) / self.clean
+        self.drift = max(sum(c1 for c1, _ in scoring) / self.toxic - self.rate, 0.002)
+
+    def read(self, chain: tuple[str, ...]) -> float:
+        """The value of the last feature of a chain that has one."""
+        return next((self.values[f] for f in reversed(chain) if f in self.values), 0.0)
+
+    def log_odds(self, word: str) -> float:
+        """Evidence of toxic text, 0 or more."""
+        return self.read(features(word))
 
     def score_of(self, raw: str) -> float:
         s = self.memo.get(raw)
@@ -169,11 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
 
     # Partial sums leave the tasks; the features are those of the bounded sample.
     counts = rows.mapInArrow(count, "feature string, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    telling = F.log((F.col("c1") + 0.5) / (F.col("c0") + 0.5)) * F.sqrt(F.col("c1") + F.col("c0"))
-    top = counts.where("c1 + c0 > 1 and c1 > 0").orderBy((F.col("feature") != "").cast("int"), telling.desc(), "feature").limit(entries + 1).collect()
-    table = {r["feature"]: (r["c1"], r["c0"]) for r in top}
-    toxic, clean = table.pop("", (0, 0))
-    lexicon = Lexicon(table, toxic, clean)
+    counts = materialize(counts, "features")
+    whole = counts.where("feature = ''").collect()  # one row
+    toxic, clean = (whole[0]["c1"], whole[0]["c0"]) if whole else (0, 0)
+    seen = F.col("c1") + F.col("c0") * (toxic / max(1, clean))
+    top = counts.where((F.col("feature") != "") & (seen >= ENOUGH)).orderBy(seen.desc(), "feature").limit(TABLE).toArrow()
+    table = dict(zip(top["feature"].to_pylist(), zip(top["c1"].to_pylist(), top["c0"].to_pylist())))
+    lexicon = Lexicon(table, toxic, clean, entries)
     held = spark.sparkContext.broadcast(lexicon)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,18 @@ def test_earlier_text_silences_no_passage(spark, labelled):
     assert lexicon.scores(["vile"] * 6).min() > 0
 
 
+def test_clean_words_below_a_toxic_prefix(spark):
+    """Words met often, and only in clean text, keep their own odds; only words never met have their prefix's."""
+    toxic = [(i, " ".join(["and so on"] * 9 + [f"grub{x}" for x in "abcdefgh"]), 1) for i in range(60)]
+    clean = [(100 + i, " ".join(["and so on"] * 9 + (["grubstake"] if i % 3 == 0 else [])), 0) for i in range(300)]
+    df = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert lexicon.log_odds("grubz") > 1 and lexicon.log_odds("gruba") > 1
+    assert lexicon.log_odds("grubstake") == 0 and lexicon.log_odds("and") == 0
+    counts = {"3 gru": (900, 60), "4 grub": (900, 60), "w gruba": (900, 0), "w grubstake": (0, 60), "w and": (500, 5000)}
+    assert toxicity.Lexicon(counts, 9000, 9000, entries=3).log_odds("grubstake") == 0
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_segments_are_all_maximal(seed):
     """Against the definition: recursively the best segment, then what is left of it and right of it."""
