@@ -2,11 +2,13 @@
 
 A recording (WAV, 16-bit PCM) becomes frames of pitch-class energies; differences of rectangles in their integral
 image, the sixteen filters, are each quantised to two bits (Gray code), so a frame gives one 32-bit integer.  Two
-recordings are aligned by the offset most of their equal integers agree on, and compared by the share of
+recordings are aligned by an offset many of their like integers agree on, and compared by the share of
 differing bits over the overlap.
 
-Recordings with equal fingerprints are one class; classes meet in an inverted index by whole integers, an offset
-histogram gives the alignment and the bit error decides.  No bucket is capped: classes, not copies, share a bucket.
+Recordings with equal fingerprints are one class; classes meet in an inverted index by three of an integer's four
+bytes, so that any errors in one byte are borne.  Every start of a run of equal integers votes in an offset histogram;
+of the ``OFFSETS`` offsets with most votes, the one within the bit error whose overlap tells most against chance wins.
+No bucket is capped: classes, not copies, share a bucket.
 
 Defined results: null, empty or unreadable audio has an empty fingerprint and is a class of its own kind that
 matches nothing; shorter audio than one filter has an empty fingerprint; repeated rows share a class; an empty
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.session import lean, materialize
 
 RATE, FRAME, HOP, WIDTH, LOW, HIGH = 11_025, 4096, 1365, 16, 28.0, 3520.0
-MIN_COMMON, MAX_ERROR = 3, 0.25
+MIN_COMMON, MAX_ERROR, OFFSETS = 3, 0.25, 8
+_BYTES = (0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF)
 THRESHOLDS = (-0.12, 0.0, 0.12)
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 
@@ -142,19 +145,27 @@ def align(prints: DataFrame, asked: DataFrame, max_error: float = MAX_ERROR, min
     ``asked`` holds the class ids that are queries; a class is named by its least id.
     """
     classes = prints.where(F.size("prints") > 0)
-    places = classes.select("class_id", F.posexplode("prints").alias("at", "value"))
-    # Within a recording a held tone repeats an integer; its first place stands for the run.
-    firsts = places.groupBy("class_id", "value").agg(F.min("at").alias("at"))
-    left = firsts.join(asked.select(F.col("class_id")).distinct(), "class_id").select(F.col("class_id"), "value", F.col("at").alias("at1"))
-    right = firsts.select(F.col("class_id").alias("match_id"), "value", F.col("at").alias("at2"))
-    votes = left.join(right, "value").where("class_id <> match_id").groupBy("class_id", "match_id", (F.col("at2") - F.col("at1")).alias("offset")).agg(F.count("*").alias("common"))
-    best = votes.groupBy("class_id", "match_id").agg(F.max_by("offset", F.struct("common", -F.abs("offset"), -F.col("offset"))).alias("offset"), F.max("common").alias("common")).where(F.col("common") >= min_common)
+    # A held tone repeats an integer; the first place of each run stands for it.
+    starts = F.filter(F.sequence(F.lit(0), F.size("prints") - 1), lambda i: (i == 0) | (F.get("prints", i) != F.get("prints", i - 1)))
+    places = classes.select("class_id", "prints", F.explode(starts).alias("at")).select("class_id", "at", F.get("prints", F.col("at")).alias("value"))
+    probe = F.posexplode(F.array(*[F.col("value").bitwiseAND(F.lit(m)) for m in _BYTES])).alias("part", "key")
+    probes = places.select("class_id", "at", "value", probe)
+    left = probes.join(asked.select(F.col("class_id")).distinct(), "class_id").select("class_id", "part", "key", F.col("at").alias("at1"), F.col("value").alias("v1"))
+    right = probes.select(F.col("class_id").alias("match_id"), "part", "key", F.col("at").alias("at2"), F.col("value").alias("v2"))
+    # Equal integers meet in all four parts and vote in the first; others meet in one.
+    met = left.join(right, ["part", "key"]).where("class_id <> match_id and (part = 0 or v1 <> v2)")
+    votes = met.groupBy("class_id", "match_id", (F.col("at2") - F.col("at1")).alias("offset")).agg(F.count("*").alias("common")).where(F.col("common") >= min_common)
+    order = Window.partitionBy("class_id", "match_id").orderBy(F.desc("common"), F.abs("offset"), "offset")
+    best = votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= OFFSETS).drop("place")
     both = best.join(classes.select("class_id", F.col("prints").alias("x")), "class_id").join(classes.select(F.col("class_id").alias("match_id"), F.col("prints").alias("y")), "match_id")
     # Overlap, bits and all in expressions: i runs over the places of x that meet y.
     lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
     bits = F.aggregate(F.sequence(lo, hi - 1), F.lit(0), lambda s, i: s + F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", (i + F.col("offset")).cast("int")))))
     error = F.round(bits / (32.0 * (hi - lo)), 6)
-    return both.withColumn("bit_error", error).where(F.col("bit_error") <= max_error).select("class_id", "match_id", F.col("offset").cast("int").alias("offset"), "common", "bit_error")
+    near = both.withColumn("bit_error", error).where(F.col("bit_error") <= max_error)
+    telling = F.struct(((0.5 - F.col("bit_error")) * (hi - lo)).alias("bits"), "common", -F.abs("offset"), -F.col("offset"))
+    chosen = near.groupBy("class_id", "match_id").agg(F.max_by(F.struct("offset", "common", "bit_error"), telling).alias("c"))
+    return chosen.select("class_id", "match_id", F.col("c.offset").cast("int").alias("offset"), "c.common", "c.bit_error")
 
 
 def tones(vectors: DataFrame) -> DataFrame:

@@ -151,6 +151,35 @@ def test_fingerprints_align_recordings(spark):
     assert found[0]["bit_error"] == pytest.approx(chroma.bit_error(x, y, hops), abs=1e-6)
 
 
+def test_alignment_recall_on_noise_and_motifs(spark):
+    """Against the best of all offsets: noisy excerpts, excerpts whose motif also comes earlier, held tones."""
+    rng = np.random.default_rng(9)
+    tune = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    noisy = lambda x, p: x ^ np.packbits(rng.random((len(x), 32)) < p, axis=1).view(">u4").ravel().astype(np.uint32)
+    rows, want = [], {}
+    for k in range(60):
+        kind = k % 4
+        if kind < 2:  # noise
+            full = tune(400)
+            cut = noisy(full[(at := int(rng.integers(0, 300))) :][:100], (0.05, 0.12)[kind])
+        elif kind == 2:  # a motif of which the excerpt has a later copy, with an end of its own
+            motif = tune(40)
+            full = np.concatenate([motif, tune(60), motif, tune(2), motif, tune(90)])
+            at, cut = 100, noisy(full[100:184], 0.02)
+        else:  # held tones
+            full = np.repeat(tune(60), rng.integers(1, 8, 60))
+            cut = full[(at := 30) :][:100]
+        rows += [(2 * k, cut.astype(np.int64).tolist()), (2 * k + 1, full.astype(np.int64).tolist())]
+        places = range(len(full) - len(cut) + 1)
+        want[2 * k, 2 * k + 1] = min(places, key=lambda o: chroma.bit_error(cut, full, o))
+        assert want[2 * k, 2 * k + 1] == at
+    prints = spark.createDataFrame(rows, "class_id long, prints array<long>")
+    got = {(r["class_id"], r["match_id"]): r["offset"] for r in chroma.align(prints, prints.where("class_id % 2 = 0")).collect()}
+    hit = {kind: sum(got.get(p) == o for p, o in want.items() if p[0] // 2 % 4 == kind) / 15 for kind in range(4)}
+    assert min(hit.values()) >= 0.9, hit
+    assert set(got) <= set(want)
+
+
 def test_chroma_query_names_every_row(spark, sf_dir):
     out = chroma.op6_chroma_prints(spark, sf_dir)
     rows = out.where("vec_id is not null")
