@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Formats give the seeds: e-mail, IP, card and phone spans.  Every seed, and every other identifier-like word
-(4 to 64 characters with a digit, ``@`` or ``_``), is an instance met in lexical patterns: the two words before
+(4 or more characters with a digit, ``@`` or ``_``) and run of digit groups (joined by single or double spaces, dots,
+hyphens and parentheses, of 4 or more characters), is an instance met in lexical patterns: the two words before
 it, or the words on both sides, each with the instance's coarse shape.  The graph of distinct (pattern,
 instance) edges is scored for a few rounds: a pattern's confidence for a kind is the share of its instances that
 are members of the kind, and it is trusted from ``MIN_MEMBERS`` members and ``MIN_CONFIDENCE`` on; an instance
@@ -37,6 +38,7 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@_]")
+_GROUPS = re.compile(r"(?:\+|\()?[0-9]++(?:[().-]*+(?:\x20{1,2}+[().-]*+)?[0-9]++)++")
 _BLANK = re.compile(r"\s")
 _WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?()[]{}<>\"'"
@@ -123,9 +125,33 @@ def _around(text: str, start: int, stop: int) -> tuple[str, str, str]:
     return strip(before[-2]) if len(before) > 1 else "", strip(before[-1]) if before else "", strip(after[0].lower()) if after else ""
 
 
-def identifiers(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Identifier-like words that overlap no seed."""
-    out, taken, k, at = [], base, 0, 0
+def groups(text: str) -> list[tuple[int, int]]:
+    """Maximal runs of at least two digit groups that stand alone: joined by spaces, dots, hyphens and parentheses."""
+    out = []
+    for m in _GROUPS.finditer(text):
+        start, stop = m.span()
+        left = start == 0 or text[start - 1].isspace() or text[start - 1] in _EDGE
+        right = stop == len(text) or text[stop].isspace() or text[stop] in _EDGE
+        if left and right and stop - start >= 4:
+            out.append((start, stop))
+    return out
+
+
+def identifiers(text: str, base: list[Span]) -> list[tuple[int, int, int | None]]:
+    """Runs of digit groups, and identifier-like words, that overlap no seed; a word in a run has the run's start."""
+
+    def free(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out, k = [], 0
+        for start, stop in found:
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            if not any(s < stop and e > start for s, e in taken[k : k + 8]):
+                out.append((start, stop))
+        return out
+
+    seeds = [(s, e) for s, _, e in base]
+    runs = free(groups(text), seeds)
+    words, at = [], 0
     while m := _SIGN.search(text, at):
         start, stop = m.start(), m.end()
         blank = _BLANK.search(text, stop)
@@ -137,19 +163,24 @@ def identifiers(text: str, base: list[Span]) -> list[tuple[int, int]]:
             start += 1
         while stop > start and text[stop - 1] in _EDGE:
             stop -= 1
-        while k < len(taken) and taken[k][2] <= start:
+        if stop - start >= 4:
+            words.append((start, stop))
+    out, k = [(s, e, None) for s, e in runs], 0
+    for start, stop in free(words, seeds):
+        while k < len(runs) and runs[k][1] <= start:
             k += 1
-        if 4 <= stop - start <= 64 and not any(s < stop and e > start for s, _, e in taken[k : k + 8]):
-            out.append((start, stop))
-    return out
+        inner = k < len(runs) and runs[k][0] < stop
+        if not inner or (start, stop) != runs[k]:
+            out.append((start, stop, runs[k][0] if inner else None))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
-_FOUND = f"row long, doc_id long, base {SPANS}, met array<struct<start:int,stop:int,kind:int,instance:string,before:string,around:string>>"
+_FOUND = f"row long, doc_id long, base {SPANS}, met array<struct<start:int,stop:int,kind:int,instance:string,before:string,around:string,run:int>>"
 _FOUND_TYPES = [
     ("row", pa.int64()),
     ("doc_id", pa.int64()),
     ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))),
-    ("met", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("before", pa.string()), ("around", pa.string())]))),
+    ("met", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("before", pa.string()), ("around", pa.string()), ("run", pa.int32())]))),
 ]
 
 
@@ -161,10 +192,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = t.as_py() or ""
             base = base_spans(text)
             met = []
-            for start, kind, stop in [*base, *((s, -1, e) for s, e in identifiers(text, base))]:
-                w2, w1, w = _around(text, start, stop)
+            for start, kind, stop, run in [*((*x, None) for x in base), *((s, -1, e, run) for s, e, run in identifiers(text, base))]:
+                # A word in a run has no context of its own; it is spanned where its instance joins elsewhere.
+                w2, w1, w = _around(text, start, stop) if run is None else ("", "", "")
                 shape = _shape(text[start:stop])
-                met.append({"start": start, "stop": stop, "kind": kind, "instance": text[start:stop].lower(), "before": f"{w2} {w1} <{shape}>" if w1 else None, "around": f"{w1} <{shape}> {w}" if w1 or w else None})
+                met.append({"start": start, "stop": stop, "kind": kind, "instance": text[start:stop].lower(), "before": f"{w2} {w1} <{shape}>" if w1 else None, "around": f"{w1} <{shape}> {w}" if w1 or w else None, "run": run})
             bases.append([{"start": s, "kind": k, "stop": e} for s, k, e in base])
             mets.append(met)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, schema.field("base").type), pa.array(mets, schema.field("met").type)], schema=schema)
@@ -196,8 +228,12 @@ def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Seeds and discoveries of ``row, doc_id, text``: ``row, doc_id, base, spans``; ``row`` is unique."""
     found = materialize(rows.select("row", "doc_id", "text").mapInArrow(_scan, _FOUND), "identifiers")
-    met = found.select("row", F.explode("met").alias("m")).where("m.kind < 0").select("row", "m.start", "m.stop", "m.instance")
-    more = met.join(discovered(found, rounds), "instance").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
+    met = found.select("row", F.explode("met").alias("m")).where("m.kind < 0").select("row", "m.start", "m.stop", "m.instance", "m.run")
+    hits = met.join(discovered(found, rounds), "instance").groupBy("row", F.coalesce("run", "start").alias("at")).agg(F.collect_list(F.struct("start", "kind", "stop", "run")).alias("own"))
+    # A run that joins covers the words in it.
+    alone = F.filter("own", lambda s: s["run"].isNull())
+    kept = F.transform(F.when(F.size(alone) > 0, alone).otherwise(F.col("own")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    more = hits.groupBy("row").agg(F.flatten(F.collect_list(kept)).alias("more"))
     spans = F.concat("base", F.coalesce("more", F.array().cast(SPANS)))
     return found.select("row", "doc_id", "base").join(more, "row", "left").select("row", "doc_id", "base", F.array_sort(spans).alias("spans"))
 

@@ -131,3 +131,22 @@ def test_long_values_train(spark):
     docs = spark.createDataFrame([(i, f"token={make()}") for i in range(100)] + [(999, f"see {make()} here")], "doc_id long, text string")
     r = next(r for r in secrets.detect(docs).collect() if r["doc_id"] == 999)
     assert r["base"] == [] and [(s["start"], s["stop"]) for s in r["spans"]] == [(4, 304)]
+
+
+def test_spaced_and_long_identifiers_are_found(spark):
+    """Phones and cards with spaces, met by no format, and addresses over 64 characters."""
+    seeds = [(i, f"please call +1 (456) 555-{2000 + i} now") for i in range(12)]
+    seeds += [(20 + i, f"paid with {c} today") for i, c in enumerate(k for k in (f"4532 0151 {n:04d} 0366" for n in range(400)) if pii.luhn(k.replace(" ", "")))]
+    seeds += [(200 + i, f"please write to user{i}@mail{i}.example.com today") for i in range(12)]
+    bad = next(k for k in (f"4532 0151 {n:04d} 0367" for n in range(9)) if not pii.luhn(k.replace(" ", "")))
+    address = "someone." * 12 + "last@intranet"
+    new = [(900, "please call (456) 555-2186 now"), (901, f"paid with {bad} today"), (902, f"please write to {address} today"), (903, "please call 456 555 2187 now")]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    assert [(s["start"], s["kind"], s["stop"]) for s in got[900]["spans"]] == [(12, 3, 26)]
+    assert [(s["start"], s["kind"], s["stop"]) for s in got[901]["spans"]] == [(10, 2, 29)]
+    assert [(s["start"], s["kind"], s["stop"]) for s in got[902]["spans"]] == [(16, 0, 16 + len(address))]
+    assert [(s["start"], s["kind"], s["stop"]) for s in got[903]["spans"]] == [(12, 3, 24)]
+    text = "at 555-9999 20"
+    assert pii.identifiers(text, []) == [(3, 14, None), (3, 11, 3)]
+    out = pii.redact(spark.createDataFrame(seeds + new, "doc_id long, text string"))
+    assert {r["text"] for r in out.where("doc_id >= 900").collect()} == {"please call [PHONE] now", "paid with [CARD] today", "please write to [EMAIL] today"}
