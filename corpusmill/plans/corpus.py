@@ -175,7 +175,17 @@ def interleave_1to1(spark, sf_dir):
 @query("WITH c AS (SELECT doc_id, unnest(range(1, 4)) AS copy FROM documents WHERE n_chars < 2000) SELECT doc_id, CAST(copy AS INT) AS copy, row_number() OVER (ORDER BY md5('42:' || copy || ':' || doc_id)) - 1 AS place FROM c")
 def replicate_shuffle(spark, sf_dir):
     """Copies in a seeded global order."""
-    c = sampling.replicated(table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id"), 3, "doc_id")
+    return _replicated(table(spark, sf_dir, "documents").where("n_chars < 2000"))
+
+
+@query()
+def replicate_shuffle_all(spark, sf_dir):
+    """The same over all documents."""
+    return _replicated(table(spark, sf_dir, "documents"))
+
+
+def _replicated(d):
+    c = sampling.replicated(d.select("doc_id"), 3, "doc_id")
     return row_numbers(c, ["place_key"], "place").select("doc_id", "copy", "place")
 
 

@@ -79,8 +79,18 @@ def shard_listing(spark, sf_dir):
 @query("WITH s AS (SELECT source AS path, CAST(sum(length(text)) // 2048 AS BIGINT) AS n_seqs FROM documents GROUP BY source), l AS (SELECT path, n_seqs, CAST(coalesce(sum(n_seqs) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WHERE n_seqs > 0) SELECT i AS global_idx, l.path, i - l.start AS local_idx FROM (SELECT unnest(range(0, 500, 7)) AS i) g JOIN l ON i >= l.start AND i < l.start + l.n_seqs")
 def interval_lookup(spark, sf_dir):
     """The shard and place of global indexes, by interval."""
+    return _looked_up(shard_listing(spark, sf_dir), spark.range(0, 500, 7).withColumnRenamed("id", "global_idx"))
+
+
+@query()
+def interval_lookup_all(spark, sf_dir):
+    """The same for every index of the listing."""
     shards = shard_listing(spark, sf_dir)
-    wanted = spark.range(0, 500, 7).withColumnRenamed("id", "global_idx")
+    total = shards.agg(F.coalesce(F.sum("n_seqs"), F.lit(0))).first()[0]  # one row
+    return _looked_up(shards, spark.range(total).withColumnRenamed("id", "global_idx"))
+
+
+def _looked_up(shards, wanted):
     within = (F.col("global_idx") >= F.col("start")) & (F.col("global_idx") < F.col("start") + F.col("n_seqs"))
     return shards.join(wanted, within).select("global_idx", "path", (F.col("global_idx") - F.col("start")).alias("local_idx"))
 
@@ -282,13 +292,22 @@ def boundary_fallback(spark, sf_dir):
 @query("SELECT event_id AS step, 10000 AS total, round(value, 2) AS loss, event_type AS domain FROM events WHERE event_id % 50 = 0")
 def log_parse(spark, sf_dir):
     """ST7 D18: fields of log lines."""
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 0")
+    return _parsed_lines(table(spark, sf_dir, "events").where("event_id % 50 = 0"))
+
+
+def _parsed_lines(e):
     line = F.concat(F.lit("Step "), F.format_number("event_id", 0), F.lit("/10,000 | Loss "), F.format_string("%.2f", F.round("value", 2)), F.lit(" | LR 1.00e-04 | 9.1 s/step | 7,183 tok/s | GPU 5.1"))
     lines = e.select(line.alias("value")).unionByName(e.select(F.lit("saved").alias("value")))
     parsed = telemetry.parsed(lines)
     return parsed.join(e.select(F.col("event_id").alias("step"), F.col("event_type").alias("domain")), "step").select("step", F.col("total").cast("int").alias("total"), "loss", "domain")
 
 
+@query()
+def log_parse_all(spark, sf_dir):
+    """ST7 D18: fields of the log lines of all events."""
+    return _parsed_lines(table(spark, sf_dir, "events"))
+
+
 @query("SELECT count(*) AS values_checked, count(*) FILTER (isnan(x) OR isinf(x)) AS bad FROM (SELECT CASE WHEN vec_id % 97 = 0 THEN 'nan'::DOUBLE WHEN vec_id % 89 = 0 THEN 'inf'::DOUBLE ELSE embedding[1]::DOUBLE END AS x FROM embeddings)")
 def nan_guard(spark, sf_dir):
     """values that are no finite numbers."""
@@ -323,7 +342,17 @@ def rename_variants(spark, sf_dir):
 @query(f"WITH c AS (SELECT conv_id, {_CODE} AS t FROM conversations WHERE turn = 0 AND conv_id < 61), r(i, a, b) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(T.RENAMES)) + "), v AS (SELECT conv_id, i, t, CASE i " + " ".join(f"WHEN {i} THEN regexp_replace(t, '\\b{a}\\b', '{b}', 'g')" for i, (a, b) in enumerate(T.RENAMES)) + " END AS v FROM c, r) SELECT row_number() OVER (ORDER BY conv_id, i) - 1 AS id, conv_id, i AS variant, v AS text FROM v WHERE v <> t")
 def single_renames(spark, sf_dir):
     """One rename at a time, kept where it changes the text, numbered in order."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id < 61").select("conv_id", F.expr(_CODE).alias("t"))
+    return _single_renames(table(spark, sf_dir, "conversations").where("turn = 0 and conv_id < 61"))
+
+
+@query()
+def single_renames_all(spark, sf_dir):
+    """The same over all first turns."""
+    return _single_renames(table(spark, sf_dir, "conversations").where("turn = 0"))
+
+
+def _single_renames(turns):
+    c = turns.select("conv_id", F.expr(_CODE).alias("t"))
     each = F.array(*[F.struct(F.lit(i).alias("variant"), T.renamed(F.col("t"), [pair]).alias("text")) for i, pair in enumerate(T.RENAMES)])
     changed = c.select("conv_id", "t", F.explode(each).alias("v")).where("v.text <> t").select("conv_id", "v.variant", "v.text")
     return row_numbers(changed, ["conv_id", "variant"], "id")
