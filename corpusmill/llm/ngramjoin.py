@@ -11,7 +11,9 @@ expanded into all pairs: first each node of a prefix token meets its neighbour b
 token, then neighbours of other components in random orders, and components of the verified links are found; then,
 for tokens that still join several components, every pair across components is a candidate, except that the largest
 component of a token isn't paired with itself.
-Every pair that reaches the threshold is inside a component or verified, so components are exact.
+Every pair that reaches the threshold is inside a component or verified, so components are exact.  The links are a
+subset that spans the components and only serves them: pairs inside a component are left out once it is known, so
+links don't count a document's near copies.
 
 Defined results: words are runs of other characters than ASCII blanks, lower-cased A-Z; fewer words than ``n`` make
 one token; a text without words has an empty set and its own class; null ids are kept (their class is the least id
@@ -226,7 +228,7 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame, words: int, thre
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents ``doc_id, n_shingles, node``; links ``a, b`` between nodes; components ``node, component``."""
+    """Documents ``doc_id, n_shingles, node``; links ``a, b`` between nodes, only those that span components; components ``node, component``."""
     spark = lean(docs.sparkSession)
     heavy = spark.sparkContext.broadcast(heavy_tokens(docs, words))  # at most HEAVY
 
