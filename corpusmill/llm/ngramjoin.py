@@ -9,9 +9,9 @@ well, each of them; only what passes all three has its whole sets fetched and co
 Equal sets are one node from the start.  Links are found in three steps, so that groups of near copies are never
 expanded into all pairs:
 
-1. each node of a prefix token meets its neighbour by size and the token's smallest set; then, among the classes that
-   leaves, its neighbours of other classes in a random order;
-2. what is left is nodes against blocks: nodes with a frequent token in common, or of one large class, and of like
+1. each node of a prefix token meets its next ``BESIDE`` neighbours by size and the token's least set, and the classes
+   of the verified links are found;
+2. what is left between classes is nodes against blocks: nodes with a frequent token in common, or of one large class, and of like
    size, are dealt by hash to blocks of about ``BLOCK`` tokens; a node meets a block of other classes when enough of its
    prefix tokens are in prefixes of the block (counts by block, not by pair);
 3. a block's nodes and those that meet it are swept twice: first by the prefixes under the two other orders, then, for
@@ -41,27 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.memos import claim
 from corpusmill.session import discard, lean, materialize, release
 
 WORDS, THRESHOLD = 5, 75
-HEAVY, TASK_HEAVY, BITMAP_BITS, BESIDE, BLOCK, LARGE_CLASS = 262_144, 16_384, 23, 4, 1 << 19, 32
+HEAVY, TASK_HEAVY, BITMAP_BITS, BESIDE, BLOCK, LARGE_CLASS = 262_144, 16_384, 23, 3, 1 << 19, 32
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2127599BF4325C37, 0x880355F21E6D1965], np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of the words of at most 32 bytes that this worker met, at most 150,000 of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= 150_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,7 +61,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(claim("words", _Hashes).__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
     if len(h) < words:
         return mixed(np.array([np.sum(h * _FACTORS[: len(h)]) + np.uint64(len(h))], np.uint64))
     total = np.zeros(len(h) - words + 1, np.uint64)
@@ -180,7 +167,7 @@ def _candidates(met: DataFrame, threshold: int, part: float = 1.0) -> DataFrame:
     return counts.where(F.col("c") * (100 + threshold) >= _least_shared("big", F.col("less"), threshold) * part).select("a", "b")
 
 
-def _alike(n: str, m: str, threshold: int) -> Column:
+def _alike(n: Column, m: Column, threshold: int) -> Column:
     """Sizes that allow the threshold."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
@@ -400,37 +387,22 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
 
     order = Window.partitionBy("token").orderBy("n", "node")
     near = lambda f: F.struct(f("node").over(order).alias("node"), f("n").over(order).alias("n"))
-    held = postings.select("token", "node", "n", near(F.lag).alias("before"), near(F.first).alias("least"), F.lead("node").over(order).alias("after"))
+    held = postings.select("token", "node", "n", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"), near(F.first).alias("least"), *[near(lambda c, k=k: F.lag(c, k)).alias(f"near{k}") for k in range(1, BESIDE + 1)])
     # Equal sets of other tasks follow each other; the first stands for them.
-    fresh = F.col("before.node").isNull() | (F.col("before.node") != F.col("node"))
-    shared = materialize(held.where(fresh & (F.col("before.node").isNotNull() | F.col("after").isNotNull())).drop("after"), "shared")
+    fresh = F.col("before").isNull() | (F.col("before") != F.col("node"))
+    ends = F.filter(F.array_distinct(F.array("least", *[f"near{k}" for k in range(1, BESIDE + 1)])), lambda o: o["node"].isNotNull() & (o["node"] != F.col("node")) & _alike(o["n"], F.col("n"), threshold))
+    shared = materialize(held.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("token", "node", "n", ends.alias("ends")), "shared")
     discard(scanned)
     release(spark)
 
-    # Of a token's neighbours by size and its smallest set; the same one counts once.
-    ends = F.array_distinct(F.array("before", "least"))
-    met = shared.select("token", F.col("node").alias("x"), "n", F.explode(ends).alias("o")).select("token", "x", "n", F.col("o.node").alias("y"), F.col("o.n").alias("m")).where(F.col("y").isNotNull() & _alike("n", "m", threshold))
-    tried = materialize(_candidates(met, threshold), "pairs")
+    # Neighbours stand side by side at some of their tokens only, so half the count is asked for.
+    met = shared.select("token", F.col("node").alias("x"), "n", F.explode("ends").alias("o")).select("token", "x", "n", F.col("o.node").alias("y"), F.col("o.n").alias("m"))
+    tried = materialize(_candidates(met, threshold, 0.5), "pairs")
     links = verified(docs, nodes, tried, words, threshold)
     known, classes = _by_class(shared, links)
-    discard(shared)
-    # Neighbours of other classes in a random order, the same for all tokens.
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
-    near = F.array(*[F.struct(*[F.lag(k, far).over(order).alias(v) for k, v in (("node", "y"), ("n", "m"), ("c", "d"))]) for far in range(1, BESIDE + 1)])
-    beside = known.select("token", F.col("node").alias("x"), "n", "c", near.alias("near")).select("token", "x", "n", "c", F.explode(F.filter("near", lambda o: o["d"].isNotNull())).alias("o"))
-    beside = beside.select("token", "x", "n", "c", "o.y", "o.m", "o.d").where((F.col("c") != F.col("d")) & _alike("n", "m", threshold))
-    new = materialize(_candidates(beside, threshold, 0.5).join(tried, ["a", "b"], "left_anti"), "pairs")
-    discard(tried)
-    if not new.isEmpty():
-        more = verified(docs, nodes, new, words, threshold)
-        both = materialize(links.unionByName(more), "links")
-        before = known
-        known, classes = _by_class(known.drop("c"), both)
-        discard(links, more, before)
-        links = both
     last = across(docs, nodes, known, classes, words, threshold)
     whole = materialize(links.unionByName(last), "links")
-    discard(links, last, known, nodes, new)
+    discard(shared, tried, links, last, known, nodes)
     return found, whole, connected_components(whole)
 
 
