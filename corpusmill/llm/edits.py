@@ -8,7 +8,9 @@ on the paths to the root.  When leaves split or vanish the tree's upper part is
 without encoding.
 
 Defined results: a null text is empty; edits apply in order, each to the text the one before left; ranges beyond
-the text end at its end; an empty edit list leaves the count; repeated rows are counted like others.
+the text end at its end; an empty edit list leaves the count; repeated rows and null ids are counted like others; very
+long texts have deeper trees, and only touched leaves are encoded again; an empty table gives no row; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -132,9 +134,6 @@ def recount(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for b in batches:
             out = [[], [], [], []]
             for t, edits in zip(b.column(1), b.column(2).to_pylist()):
-                if len(own.memo) + len(own.parts) > own.entries:
-                    own.memo.clear()
-                    own.parts.clear()
                 tree = TokenTree(t.as_py() or "", own)
                 n = tree.tokens
                 for e in edits or []:

@@ -3,8 +3,9 @@
 Both vocabularies split a text into pre-tokens before any merge, and a single space between two non-blank
 characters is always a pre-token boundary.  A text is cut at such spaces, each distinct piece goes through the
 ``tokenizers`` model once per Python worker, and a document's ids are its pieces' ids in order: the same ids as
-encoding the whole text, without repeating the merges.  Pieces with characters outside plain Latin text, and
-texts in which spaces stand beside other blanks, go through the library's whole pipeline instead.
+encoding the whole text, without repeating the merges.  Pieces with characters outside plain Latin text, texts in
+which spaces stand beside other blanks, and texts that hold an added token of the vocabulary (``<|endoftext|>``), go
+through the library's whole pipeline instead.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import regex
 
 from corpusmill.llm.memos import claim
 
-#: Entries a worker's memo holds before it starts anew; a bound on memory, not on what is encoded.
-MEMO_ENTRIES = 900_000
+#: Entries a worker's memo holds before it starts anew, and the longest piece it keeps: some 80 MB at most; a bound on
+#: memory, not on what is encoded.
+MEMO_ENTRIES, MEMO_LENGTH = 400_000, 32
 
 #: The pre-token patterns of the two vocabularies, as their files state them.
 _BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -26,6 +28,8 @@ _WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{
 
 #: Pieces the memo takes apart itself: printable Latin text with inner line ends.
 _PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+(?:\n[\x21-\x7e¡-ɏ]+)*")
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,12 +52,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids don't fit unsigned 16 bits")
         with open(path, encoding="utf-8") as f:
             self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)", regex.IGNORECASE)
         self.letters = dict(enumerate(_byte_letters()))
         self.entries = entries
         self.raw = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -69,19 +74,35 @@ class PieceEncoder:
         ids = self.parts.get(part)
         if ids is None:
             mapped = part.translate(self.letters) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
+            ids = b"".join([self.raw[t.id] for t in self.model.tokenize(mapped)])
+            if len(part) <= MEMO_LENGTH:
+                self.parts[part] = ids
         return ids
 
+    def _pieces(self, words: list[str]) -> list[bytes | None]:
+        """Ids of pieces between spaces; long ones aren't kept."""
+        if len(self.memo) + len(self.parts) > self.entries:
+            self.memo.clear()
+            self.parts.clear()
+        memo, long = self.memo, {}
+        for w in set(words).difference(memo):
+            (memo if len(w) <= MEMO_LENGTH else long)[w] = self._piece(w)
+        return [memo[w] if w in memo else long[w] for w in words] if long else list(map(memo.__getitem__, words))
+
     def _piece(self, piece: str) -> bytes | None:
         """Ids of what stands between two spaces; None if a blank beside a space forbids the cut."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
+        if self.added.search(piece):
+            return self.whole(" " + piece)
         space = "" if self.by_word else " "
         letters, end = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1])
         if letters.isalpha() and end in ".,;:!?" and (letters.isascii() or _PLAIN.fullmatch(letters)):
             if self.by_word:
                 letters = letters.lower() if letters.isascii() else self.tokenizer.normalizer.normalize_str(letters)
-            return self._part(space + letters) + self._part(end) if end else self._part(space + letters)
+            # A lower-cased letter may gain a mark, which is no letter.
+            if letters.isalpha():
+                return self._part(space + letters) + self._part(end) if end else self._part(space + letters)
         if _PLAIN.fullmatch(piece) is None:
             return self.whole(" " + piece)
         if self.by_word:
@@ -90,29 +111,18 @@ class PieceEncoder:
 
     def count_after_space(self, words: list[str]) -> int | None:
         """Ids of pieces that follow spaces, in number; None if they can't be cut there."""
-        memo = self.memo
-        for w in set(words).difference(memo):
-            memo[w] = self._piece(w)
-        found = list(map(memo.__getitem__, words))
+        found = self._pieces(words)
         return None if None in found else sum(map(len, found)) // 2
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one whole text; null is the empty text."""
         if not text:
             return b""
-        memo = self.memo
-        if len(memo) + len(self.parts) > self.entries:
-            memo.clear()
-            self.parts.clear()
         first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        for w in set(rest).difference(memo):
-            memo[w] = self._piece(w)
-        try:
-            return self.whole(first) + b"".join(map(memo.__getitem__, rest))
-        except TypeError:
+        if not first or first[-1].isspace() or self.added.search(text):
             return self.whole(text)
+        found = self._pieces(rest)
+        return self.whole(text) if None in found else self.whole(first) + b"".join(found)
 
 
 def encoder(path: str) -> PieceEncoder:
