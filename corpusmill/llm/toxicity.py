@@ -17,7 +17,9 @@ of toxic labels.  ``segments`` returns the significant passages, the score is th
 
 Labels, language, source and ids are no inputs of a score.  Defined results: a null or empty text has the score of
 a text without any scoring segment; a null ``doc_id`` is never a training row and not held out; repeated labels of
-an id count as toxic if any is; without labelled rows of both kinds every score is 0.
+an id count as toxic if any is; repeated documents are scored alike, and each trains; very long texts are scanned whole,
+in time linear in their words; other columns, whatever their names, stay as they are; an empty table gives no row;
+without labelled rows of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -112,7 +114,9 @@ class Lexicon:
             word = plain(raw)
             if len(self.memo) > 250_000:
                 self.memo.clear()
-            s = self.memo[raw] = (self.log_odds(word) if word else 0.0) - self.drift
+            s = (self.log_odds(word) if word else 0.0) - self.drift
+            if len(raw) <= 32:
+                self.memo[raw] = s
         return s
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -141,22 +145,26 @@ class Lexicon:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, sum) in linear time.
 
-    Runs of negative scores are taken as one step, so the scan's length is the number of positive scores.
+    Runs of negative scores are taken as one step, so the scan's length is the number of positive scores.  Each segment
+    keeps a link to the last one before it that begins at a lower sum, and the search follows links: segments passed
+    over on the way begin at no lower sum than the new one and are never asked again.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
-    for k in np.flatnonzero(scores > 0).tolist():
-        first, end, left, right = k, k + 1, float(sums[k]), float(sums[k + 1])
+    places = np.flatnonzero(scores > 0)
+    held: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, link
+    for k, left, right in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist()):
+        first, j = k, len(held) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append((first, end, left, right))
+            while j >= 0 and held[j][2] >= left:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= right:
                 break
-            first, left = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(first, end, right - left) for first, end, left, right in stack]
+            # The pair is one segment from there on; its link is the next to ask.
+            first, left, link = held[j][0], held[j][2], held[j][4]
+            del held[j:]
+            j = link
+        held.append((first, k + 1, left, right, j))
+    return [(first, end, right - left) for first, end, left, right, _ in held]
 
 
 def best_segment(scores: np.ndarray) -> float:
