@@ -13,12 +13,14 @@ Joins run on distinct edges, so a line that a third of all documents repeat coun
 shuffled; only identifiers with their contexts are.
 
 Defined results: a null text is empty; null or repeated ``doc_id`` values give a row each; an empty table gives
-no row; a text without identifiers gives zeros and empty strings.
+no row; a text without identifiers gives zeros and empty strings; very long texts, words and identifiers are read
+whole; other columns, whatever their names, are not read (``redact`` keeps them).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@_]")
 _GROUPS = re.compile(r"(?:\+|\()?[0-9]++(?:[().-]*+(?:\x20{1,2}+[().-]*+)?[0-9]++)++")
 _BLANK = re.compile(r"\s")
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"\S++")
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 Span = tuple[int, int, int]
@@ -117,12 +119,22 @@ def _shape(word: str) -> str:
     return ("_" if "_" in word else "") + ("a" if any(map(str.isalpha, word)) else "") + ("9" if any(map(str.isdigit, word)) else "")
 
 
-def _around(text: str, start: int, stop: int) -> tuple[str, str, str]:
-    """The second and first word before, and the first after, within 80 characters on either side."""
-    before = text[max(0, start - 80) : start].lower().split()
-    after = _WORD.search(text, stop, min(len(text), stop + 80))
-    strip = lambda w: w.strip(_EDGE)
-    return strip(before[-2]) if len(before) > 1 else "", strip(before[-1]) if before else "", strip(after[0].lower()) if after else ""
+class Words:
+    """A text's whole words and their places, found when first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.starts = text, None
+
+    def around(self, start: int, stop: int) -> tuple[str, str, str]:
+        """The second and first word, or part of one, before a span, and the first after it; of any length."""
+        if self.starts is None:
+            found = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.stops = [s for s, _ in found], [e for _, e in found]
+        k = bisect_left(self.starts, start)  # words that begin before the span
+        j = bisect_right(self.stops, stop)  # the first word that ends behind it
+        cut = lambda i, lo, hi: self.text[max(lo, self.starts[i]) : min(hi, self.stops[i])].strip(_EDGE).lower()
+        last = len(self.text)
+        return cut(k - 2, 0, start) if k > 1 else "", cut(k - 1, 0, start) if k else "", cut(j, stop, last) if j < len(self.starts) else ""
 
 
 def groups(text: str) -> list[tuple[int, int]]:
@@ -191,10 +203,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(2):
             text = t.as_py() or ""
             base = base_spans(text)
-            met = []
+            met, words = [], Words(text)
             for start, kind, stop, run in [*((*x, None) for x in base), *((s, -1, e, run) for s, e, run in identifiers(text, base))]:
                 # A word in a run has no context of its own; it is spanned where its instance joins elsewhere.
-                w2, w1, w = _around(text, start, stop) if run is None else ("", "", "")
+                w2, w1, w = words.around(start, stop) if run is None else ("", "", "")
                 shape = _shape(text[start:stop])
                 met.append({"start": start, "stop": stop, "kind": kind, "instance": text[start:stop].lower(), "before": f"{w2} {w1} <{shape}>" if w1 else None, "around": f"{w1} <{shape}> {w}" if w1 or w else None, "run": run})
             bases.append([{"start": s, "kind": k, "stop": e} for s, k, e in base])
