@@ -6,16 +6,20 @@ between them, in a random direction that keeps each one's mean, until one is tak
 other meets the next one.  Mass is kept in every step, so a source misses its target by less than its last
 document.  Documents of like size (within a factor of two) meet first, in buckets of about 32 by a hash of their
 key; each bucket leaves one residual, residuals meet in the buckets above, and so on: a reduction tree whose depth
-is the logarithm of the row count.  At most 32 residuals of each size class come to a source's root and meet there
-from the largest down, so that the last document is mostly a small one; of six such roundings the one whose last
-residual is nearest to whole stays.
+is the logarithm of the row count.  At most 32 residuals of each size class come to a source's root.  There the largest
+meets all lesser ones at once: they take or give its mass in shares fixed before the draw, so every mean stays and the
+large one is settled; then the next, down to the least ones, which pair again.  The last one of all is taken with the
+probability that its mass says.  So every document's mean number of copies is its fraction, and a source misses its
+target by about its least documents.
 
 Rows that agree in source, id and size are one unit with a multiplicity: all but one fraction of a unit is whole,
 so no bucket grows with repeated rows.  Random numbers are hashes of keys and the seed, so reruns agree whatever
 the partitions.
 
 Defined results: a null text has size 0; null sources are one source, last; a document of size 0 takes 0 words; a
-source of size 0 has target 0; an empty table gives no row.
+source of size 0 has target 0; very long texts are units like others; other columns, whatever their names, are not
+read (``mixture`` keeps them); an empty table gives no row.  Sources' totals and targets are a row a source, which
+must fit one task.
 """
 
 from __future__ import annotations
@@ -101,11 +105,28 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, pair)
 
 
-def _closest(items: Column, seed: int, tries: int = 6) -> Column:
-    """Of a few roundings of a root bucket, the one whose last residual is nearest to whole."""
-    error = lambda f: F.coalesce(F.least(f["rest"]["mass"], f["rest"]["size"] - f["rest"]["mass"]), F.lit(0.0))
-    rounded = F.array(*[_fold(items, seed + 100 + k) for k in range(tries)])
-    return F.array_min(F.transform(rounded, lambda f: F.struct(error(f).alias("error"), f.alias("f"))))["f"]
+def _settled(items: Column, seed: int) -> Column:
+    """Masses of a root's units, from the largest size down, after each has met all lesser ones at once.
+
+    A unit gains or gives what makes it whole, as far as the lesser ones can bear it either way; each of those bears a
+    share in proportion to its distance from the nearer whole, so both outcomes keep it within its bounds.
+    """
+    sizes = F.transform(items, lambda x: x["size"].cast("double"))
+
+    def settle(m: Column, i: Column) -> Column:
+        room = F.aggregate(F.slice(F.zip_with(m, sizes, lambda x, s: F.least(x, s - x)), i + 2, F.size(items)), F.lit(0.0), lambda a, x: a + x)
+        up, down = F.least(F.get(sizes, i) - F.get(m, i), room), F.least(F.get(m, i), room)
+        u = F.pmod(F.xxhash64(F.get(items, i)["h"], F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+        gain = F.when(u * (up + down) < down, up).otherwise(-down)  # the mean gain is 0
+        drawn = F.array(F.struct(gain.alias("gain"), room.alias("room")))
+
+        def shared(d: Column) -> Column:
+            lesser = lambda x, j: F.when(d["room"] > 0, x - d["gain"] * F.least(x, F.get(sizes, j) - x) / d["room"]).otherwise(x)
+            return F.transform(m, lambda x, j: F.when(j < i, x).when(j == i, x + d["gain"]).otherwise(lesser(x, j)))
+
+        return F.element_at(F.transform(drawn, shared), 1)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), F.transform(items, lambda x: x["mass"]), settle)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = CAP, seed: int = 7, sizes: Column | None = None) -> DataFrame:
@@ -135,15 +156,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: floa
         ordered = F.array_sort(F.collect_list("unit"), (lambda a, b: F.coalesce(by_size(a, b), by_hash(a, b))) if root else by_hash)
         alike = F.lit(0) if root else F.floor(F.log2("unit.size")).cast("int")
         folded = level.groupBy(F.col("unit.source").alias("s"), alike.alias("alike"), "bucket").agg(ordered.alias("units"))
-        folded = folded.select("bucket", (_closest(F.col("units"), seed) if root else _fold(F.col("units"), seed)).alias("f"))
+        if root:
+            moved = folded.select("bucket", F.zip_with("units", _settled(F.col("units"), seed + 1), lambda x, m: x.withField("mass", m)).alias("units"))
+            moved = materialize(moved, "settled")
+            done = moved.select(F.explode("units").alias("unit")).where("unit.mass < 1e-6 or unit.mass > unit.size - 1e-6")
+            taken.append(done.select("unit", F.when(F.col("unit.mass") < 1e-6, F.lit(0)).otherwise(F.col("unit.size")).cast("long").alias("take")))
+            folded = moved.withColumn("units", F.filter("units", lambda x: (x["mass"] >= 1e-6) & (x["mass"] <= x["size"] - 1e-6)))
+        folded = folded.select("bucket", _fold(F.col("units"), seed).alias("f"))
         folded = materialize(folded.select("bucket", "f.rest", "f.out"), "rounded")
         taken.append(folded.select(F.explode("out").alias("d")).select("d.unit", "d.take"))
         bits = max(0, bits - FAN_BITS)
         level = folded.where("rest is not null").select(F.col("rest").alias("unit"), F.pmod("bucket", F.lit(1 << bits)).alias("bucket"))
         if root:
             break
-    # The last residual of a source goes to the nearer side.
-    taken.append(level.select("unit", F.when(F.col("unit.mass") * 2 >= F.col("unit.size"), F.col("unit.size")).otherwise(F.lit(0)).alias("take")))
+    # The last residual of a source is drawn by its mass.
+    u = F.pmod(F.xxhash64("unit.h", F.lit(seed + 2)), F.lit(1 << 52)) / float(1 << 52)
+    taken.append(level.select("unit", F.when(u * F.col("unit.size") < F.col("unit.mass"), F.col("unit.size")).otherwise(F.lit(0)).cast("long").alias("take")))
     chosen = taken[0]
     for t in taken[1:]:
         chosen = chosen.unionByName(t)
