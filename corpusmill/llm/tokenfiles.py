@@ -7,8 +7,10 @@ per file holds its counts; the place of a file in the whole stream (its base) is
 counts before it, so no task needs another task's data.
 
 Defined results: a null text is empty (one end id); a null ``doc_id`` sorts first and is stored as the least
-64-bit integer; repeated ``doc_id`` values are kept, ordered by their text; an empty table gives no file and an
-empty result.  Files are written under a name of the attempt and renamed, so a repeated task leaves one copy.
+64-bit integer, and the manifest counts a file's nulls; repeated ``doc_id`` values are kept, ordered by a hash of their
+text; very long texts are whole; other columns, whatever their names, are not read; an empty table gives no file and
+an empty result.  Ids are written as batches come, under a name of the attempt; the files are moved to their place at
+the end, so a repeated task leaves one copy.  Where a filesystem has no local files, reading asks for ranges of bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from corpusmill.llm.encoding import encoder, vocabulary_path
 from corpusmill.session import fresh_path, lean, materialize
 
 NULL_ID = -(2**63)
-_MANIFEST = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())])
+_MANIFEST = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("nulls", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -42,27 +44,45 @@ def _place(uri: str):
     return FileSystem.from_uri(uri)
 
 
-def _put(uri: str, data: bytes) -> None:
-    fs, path = _place(uri)
-    if fs is None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+class _Writer:
+    """A file written piece by piece under a name of the attempt, then moved to its place."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = _place(uri)
         context = TaskContext.get()
-        temporary = f"{path}.{context.taskAttemptId() if context else 0}"
-        with open(temporary, "wb") as f:
-            f.write(data)
-        os.replace(temporary, path)
-    else:
-        fs.create_dir(os.path.dirname(path), recursive=True)
-        with fs.open_output_stream(path) as f:
-            f.write(data)
+        self.temporary = f"{self.path}.{context.taskAttemptId() if context else 0}"
+        if self.fs is None:
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+            self.file = open(self.temporary, "wb")
+        else:
+            self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+            self.file = self.fs.open_output_stream(self.temporary)
+
+    def write(self, data: bytes) -> None:
+        self.file.write(data)
+
+    def commit(self) -> None:
+        self.file.close()
+        if self.fs is None:
+            os.replace(self.temporary, self.path)
+        else:
+            self.fs.move(self.temporary, self.path)
+
+
+class _Mapped:
+    """A flat file of numbers: a memory map, or ranges of bytes where there are no local files."""
 
+    def __init__(self, uri: str, kind: str):
+        fs, path = _place(uri)
+        self.kind = np.dtype(kind)
+        self.file = fs.open_input_file(path) if fs else None
+        self.array = None if fs else np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, kind)
 
-def _map(uri: str, kind: str) -> np.ndarray:
-    fs, path = _place(uri)
-    if fs is None:
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+    def __getitem__(self, own: slice) -> np.ndarray:
+        if self.file is None:
+            return self.array[own]
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((own.stop - own.start) * size, own.start * size), self.kind)
 
 
 def crc32_of(ids: np.ndarray) -> int:
@@ -79,23 +99,27 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode, end = encoder(vocabulary).encode, end_id.to_bytes(2, "little")
-        name, data, lengths, ids = f"{path}/part-{part:06d}", bytearray(), [], []
+        name, out, offsets, ids, nulls = f"{path}/part-{part:06d}", None, [0], [], 0
         for b in batches:
+            if b.num_rows and out is None:
+                out = _Writer(f"{name}.bin")
+            nulls += b.column(0).null_count
             ids.extend(NULL_ID if i is None else i for i in b.column(0).to_pylist())
             for text in b.column(1):
-                raw = encode(text.as_py())
-                data += raw
-                data += end
-                lengths.append(len(raw) // 2 + 1)
-        if ids:
-            _put(f"{name}.bin", data)
-            _put(f"{name}.idx", np.concatenate([[0], np.cumsum(lengths)]).astype("<i8").tobytes())
-            _put(f"{name}.doc", np.asarray(ids, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)]), pa.array([len(data) // 2])], schema=_MANIFEST)
+                raw = encode(text.as_py()) + end
+                out.write(raw)
+                offsets.append(offsets[-1] + len(raw) // 2)
+        if out:
+            out.commit()
+            for kind, data in (("idx", offsets), ("doc", ids)):
+                file = _Writer(f"{name}.{kind}")
+                file.write(np.asarray(data, "<i8").tobytes())
+                file.commit()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)]), pa.array([offsets[-1]]), pa.array([nulls])], schema=_MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    manifest = materialize(dealt.mapInArrow(write, "part int, docs long, tokens long"), "manifest")
+    manifest = materialize(dealt.mapInArrow(write, "part int, docs long, tokens long, nulls long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return path, manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -107,24 +131,24 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
         for b in batches:
             for row in b.to_pylist():
                 name = f"{path}/part-{row['part']:06d}"
-                ids, offsets, docs = _map(f"{name}.bin", "<u2"), _map(f"{name}.idx", "<i8"), _map(f"{name}.doc", "<i8")
-                for at in range(0, len(docs), 8192):
-                    own = docs[at : at + 8192]
-                    edges = offsets[at : at + len(own) + 1]
+                ids, offsets, docs = _Mapped(f"{name}.bin", "<u2"), _Mapped(f"{name}.idx", "<i8"), _Mapped(f"{name}.doc", "<i8")
+                for at in range(0, row["docs"], 8192):
+                    stop = min(at + 8192, row["docs"])
+                    edges = np.array(offsets[at : stop + 1])
                     crc = [crc32_of(ids[s:e]) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(own), mask=np.array(own == NULL_ID)), pa.array(edges[:-1] + row["base"]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=_READ
+                        [pa.array(np.array(docs[at:stop]), mask=np.arange(at, stop) < row["nulls"]), pa.array(edges[:-1] + row["base"]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], schema=_READ
                     )
 
-    files = manifest.select("part", "base").repartition(max(1, manifest.count()))  # a task for each file
+    files = manifest.select("part", "docs", "nulls", "base").repartition(max(1, manifest.count()))  # a task for each file
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(path: str, part: int, index: int) -> np.ndarray:
     """Random access: the ids of one document of one file, through the memory map."""
     name = f"{path}/part-{part:06d}"
-    offsets = _map(f"{name}.idx", "<i8")
-    return np.array(_map(f"{name}.bin", "<u2")[offsets[index] : offsets[index + 1]])
+    first, stop = _Mapped(f"{name}.idx", "<i8")[index : index + 2].tolist()
+    return np.array(_Mapped(f"{name}.bin", "<u2")[first:stop])
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
