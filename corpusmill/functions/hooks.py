@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import subprocess
 import sys
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,22 +18,32 @@ def stub_generator(prompt: str) -> str:
     return f"<answer>{hashlib.md5(prompt.encode()).hexdigest()}</answer>"
 
 
-def generated(df: DataFrame, prompt: str, client: Callable[[str], str] = stub_generator, retries: int = 3, name: str = "reply") -> DataFrame:
-    """Replies of a client by row, in batches; a prompt that fails every time has an empty reply."""
+def generated(df: DataFrame, prompt: str, client: Callable[[str], str] = stub_generator, retries: int = 3, name: str = "reply", wait: float = 0.0, failed: str = "empty") -> DataFrame:
+    """Replies of a client by row, in batches.
+
+    Between tries it waits ``wait`` seconds, twice as long each time.  A prompt that fails every time has an empty
+    reply, or loses its row (``failed="drop"``), or fails the job (``failed="raise"``).
+    """
+    if failed not in ("empty", "drop", "raise"):
+        raise ValueError(failed)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for p in part[prompt]:
-                reply = ""
-                for _ in range(retries):
+                reply = None
+                for k in range(retries):
                     try:
                         reply = client(p or "")
                         break
                     except Exception:  # noqa: BLE001 - any failure of a client counts as one try
-                        continue
-                out.append(reply)
-            yield part.assign(**{name: out})
+                        if k == retries - 1 and failed == "raise":
+                            raise
+                        if wait and k < retries - 1:
+                            time.sleep(wait * 2**k)
+                out.append(reply if reply is not None or failed == "drop" else "")
+            made = part.assign(**{name: out})
+            yield made[made[name].notna()] if failed == "drop" else made
 
     return df.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` string"]))
 
@@ -69,6 +80,9 @@ def verified(code: Column, test: Column, entry_point: Column) -> Column:
 
 
 def first_key(df: DataFrame, keys: DataFrame, text: str) -> DataFrame:
-    """The first key, in ``ord``, that a text contains (any case); null without one.  ``keys`` is a fixed list."""
-    joined = df.join(F.broadcast(keys), F.contains(F.lower(F.col(text)), F.col("key")), "left")
-    return joined.groupBy(*df.columns).agg(F.min_by("key", "ord").alias("key"))
+    """The first key, in ``ord``, that a text contains (any case); null without one.  ``keys`` is a list of at most 1,000."""
+    held = [r["key"] for r in keys.where("key is not null").orderBy("ord").limit(1001).collect()]
+    if len(held) > 1000:
+        raise ValueError("more than 1,000 keys")
+    low = F.lower(F.col(text))
+    return df.withColumn("key", F.coalesce(*[F.when(F.contains(low, F.lit(k)), k) for k in held], F.lit(None).cast("string")))

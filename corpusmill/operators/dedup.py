@@ -12,8 +12,11 @@ def first_wins(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     The least order of a key comes from partial aggregation, so a key that a third of all rows share needs no task
     of its own; rows then stay by a semi join on their order.
     """
-    winners = df.groupBy(key.alias("__key")).agg(F.min(F.struct(*order)).alias("__first")).select([F.col(f"__first.{c}").alias(c) for c in order])
-    return df.join(winners, order, "left_semi")
+    winners = df.groupBy(key.alias("__key")).agg(F.min(F.struct(*order)).alias("__first")).select([F.col(f"__first.{c}").alias(f"__{c}") for c in order])
+    same = F.lit(True)
+    for c in order:  # an order may be null
+        same = same & df[c].eqNullSafe(winners[f"__{c}"])
+    return df.join(winners, same, "left_semi")
 
 
 def by_prefix(df: DataFrame, text: Column, order: list[str], n: int = 300) -> DataFrame:

@@ -47,6 +47,14 @@ def finite(*values: Column) -> Column:
     return ok
 
 
+def all_or_nothing(df, ok: Column):
+    """The table if every row passes; raises before anything is written if one doesn't."""
+    bad = df.where(~F.coalesce(ok, F.lit(False))).limit(1).count()
+    if bad:
+        raise ValueError("a row that mustn't be written")
+    return df
+
+
 def complete(actual: Column, expected: Column, share: float = 0.98, least: int = 10_000_000) -> Column:
     """Whether a file is complete: by share of its expected size, else by a least size."""
     return F.when(expected > 0, actual >= share * expected).otherwise(actual > least)
@@ -60,9 +68,15 @@ def classify(c: Column) -> Column:
     line_share = F.size(F.array_distinct(lines)) / F.size(lines)
     words = F.split(c, " ")
     word_share = F.size(F.array_distinct(words)) / F.size(words)
-    reason = (
-        F.when(c.isNull() | (n < 50), "too_short").when(n > 50_000, "too_long").when(letters < 0.5, "low_alpha").when(line_share < 0.5, "repetitive").when(word_share < 0.15, "low_diversity").otherwise("ok")
-    )
-    mean_word = n / F.size(words)
-    tier = F.when((mean_word >= 7.5) | (n > 6000), "hard").when((mean_word >= 6.0) | (n > 2000), "medium").otherwise("easy")
-    return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), (letters * 0.5 + line_share * 0.2 + word_share * 0.3).alias("q_score"), tier.alias("tier"))
+    # Measured once a row; the rules read the measures.
+    measures = F.array(F.struct(n.alias("n"), letters.alias("letters"), line_share.alias("line_share"), word_share.alias("word_share"), (n / F.size(words)).alias("mean_word")))
+
+    def judged(m: Column) -> Column:
+        reason = (
+            F.when(m["n"].isNull() | (m["n"] < 50), "too_short").when(m["n"] > 50_000, "too_long").when(m["letters"] < 0.5, "low_alpha")
+            .when(m["line_share"] < 0.5, "repetitive").when(m["word_share"] < 0.15, "low_diversity").otherwise("ok")
+        )
+        tier = F.when((m["mean_word"] >= 7.5) | (m["n"] > 6000), "hard").when((m["mean_word"] >= 6.0) | (m["n"] > 2000), "medium").otherwise("easy")
+        return F.struct((reason == "ok").alias("ok"), reason.alias("reason"), (m["letters"] * 0.5 + m["line_share"] * 0.2 + m["word_share"] * 0.3).alias("q_score"), tier.alias("tier"))
+
+    return F.element_at(F.transform(measures, judged), 1)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.order import running_total
+from corpusmill.session import materialize
 
 VOCABULARY, LENGTH, IGNORE = 49_152, 2048, -100
 
@@ -23,14 +27,13 @@ def stub_tokens(c: Column) -> Column:
 
 def tokenized(df: DataFrame, vocabulary: str, text: str = "text", name: str = "tokens") -> DataFrame:
     """Ids by a ``tokenizers`` file, in Arrow batches, without special tokens or truncation."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([x.ids for x in found])
+        tokenizer = Tokenizer.from_file(vocabulary)  # once a task
+        for texts in parts:
+            yield pd.Series([x.ids for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)])
 
     return df.withColumn(name, encode(F.col(text)))
 
@@ -42,7 +45,10 @@ def packed(df: DataFrame, order: list[str], by: list[str] | None = None, length:
     slices in order.  The tail (of each shard) is dropped as the readers do, unless kept.
     """
     by = by or []
-    placed = running_total(df.withColumn("__n", F.size("tokens")).where("__n > 0"), order, F.size("tokens"), "__at", by)
+    # Tokens are made once and joined to their places; the running total sees keys and lengths only.
+    held = materialize(df.withColumn("__n", F.size("tokens")).where("__n > 0").withColumn("__row", F.monotonically_increasing_id()), "tokens")
+    places = running_total(held.select("__row", "__n", *dict.fromkeys([*by, *order])), [*order, "__row"], F.col("__n"), "__at", by)
+    placed = held.select("__row", "__n", "tokens", *by).join(places.select("__row", "__at"), "__row")
     if shard is None:
         cell, first = F.col("__at"), F.floor(F.col("__at") / length)
         last = F.floor((F.col("__at") + F.col("__n") - 1) / length)

@@ -76,23 +76,26 @@ def shard_listing(spark, sf_dir):
     return audit.starts(s, "path", F.floor(F.col("n") / 2048)).select("path", "n_seqs", "start")
 
 
-@query("WITH s AS (SELECT source AS path, CAST(sum(length(text)) // 2048 AS BIGINT) AS n_seqs FROM documents GROUP BY source), l AS (SELECT path, n_seqs, CAST(coalesce(sum(n_seqs) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WHERE n_seqs > 0) SELECT i AS global_idx, l.path, i - l.start AS local_idx FROM (SELECT unnest(range(0, 500, 7)) AS i) g JOIN l ON i >= l.start AND i < l.start + l.n_seqs")
+@query("WITH s AS (SELECT source AS path, CAST(sum(length(text)) // 2048 AS BIGINT) AS n_seqs FROM documents GROUP BY source), l AS (SELECT path, n_seqs, CAST(coalesce(sum(n_seqs) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s WHERE n_seqs > 0) SELECT i AS global_idx, l.path, i - l.start AS local_idx FROM (SELECT unnest(range((SELECT CAST(coalesce(sum(n_seqs), 0) AS BIGINT) FROM l))) AS i) g JOIN l ON i >= l.start AND i < l.start + l.n_seqs")
 def interval_lookup(spark, sf_dir):
-    """The shard and place of global indexes, by interval."""
-    return _looked_up(shard_listing(spark, sf_dir), spark.range(0, 500, 7).withColumnRenamed("id", "global_idx"))
+    """The shard and place of every global index, by interval."""
+    return interval_lookup_all(spark, sf_dir)
 
 
 @query()
 def interval_lookup_all(spark, sf_dir):
-    """The same for every index of the listing."""
+    """The same, under the name its brute-force test knows."""
     shards = shard_listing(spark, sf_dir)
     total = shards.agg(F.coalesce(F.sum("n_seqs"), F.lit(0))).first()[0]  # one row
     return _looked_up(shards, spark.range(total).withColumnRenamed("id", "global_idx"))
 
 
 def _looked_up(shards, wanted):
+    # Both sides meet in buckets of indexes, so the join has a key.
+    width = 4096
     within = (F.col("global_idx") >= F.col("start")) & (F.col("global_idx") < F.col("start") + F.col("n_seqs"))
-    return shards.join(wanted, within).select("global_idx", "path", (F.col("global_idx") - F.col("start")).alias("local_idx"))
+    dealt = shards.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_seqs") - 1) / width))))
+    return dealt.join(wanted.withColumn("bucket", F.floor(F.col("global_idx") / width)), "bucket").where(within).select("global_idx", "path", (F.col("global_idx") - F.col("start")).alias("local_idx"))
 
 
 # ---- curriculum
@@ -289,10 +292,10 @@ def boundary_fallback(spark, sf_dir):
     return w.select("user_id", "win", F.round(audit.boundary_mean(F.col("s"), F.col("n"), last), 4).alias("smoothed"))
 
 
-@query("SELECT event_id AS step, 10000 AS total, round(value, 2) AS loss, event_type AS domain FROM events WHERE event_id % 50 = 0")
+@query("SELECT event_id AS step, 10000 AS total, round(value, 2) AS loss, event_type AS domain FROM events")
 def log_parse(spark, sf_dir):
     """ST7 D18: fields of log lines."""
-    return _parsed_lines(table(spark, sf_dir, "events").where("event_id % 50 = 0"))
+    return _parsed_lines(table(spark, sf_dir, "events"))
 
 
 def _parsed_lines(e):
@@ -339,15 +342,26 @@ def rename_variants(spark, sf_dir):
     return c.select("conv_id", F.explode(T.variants(F.col("t"))).alias("variant"))
 
 
-@query(f"WITH c AS (SELECT conv_id, {_CODE} AS t FROM conversations WHERE turn = 0 AND conv_id < 61), r(i, a, b) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(T.RENAMES)) + "), v AS (SELECT conv_id, i, t, CASE i " + " ".join(f"WHEN {i} THEN regexp_replace(t, '\\b{a}\\b', '{b}', 'g')" for i, (a, b) in enumerate(T.RENAMES)) + " END AS v FROM c, r) SELECT row_number() OVER (ORDER BY conv_id, i) - 1 AS id, conv_id, i AS variant, v AS text FROM v WHERE v <> t")
+@query(
+    f"WITH c AS (SELECT conv_id, turn, {_CODE} AS t FROM conversations), v AS (SELECT conv_id, turn, unnest(list_distinct([t, "
+    + ", ".join("".join("regexp_replace(" for _ in p) + "t" + "".join(f", '\\b{a}\\b', '{b}', 'g')" for a, b in p) for p in T.MERGED_SETS)
+    + "])) AS v FROM c) SELECT conv_id, turn, v AS variant FROM v"
+)
+def merged_variants(spark, sf_dir):
+    """The renames of merged documents over all turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_CODE).alias("t"))
+    return c.select("conv_id", "turn", F.explode(T.variants(F.col("t"), T.MERGED_SETS, T.MERGED_KEYWORDS)).alias("variant"))
+
+
+@query(f"WITH c AS (SELECT conv_id, {_CODE} AS t FROM conversations WHERE turn = 0), r(i, a, b) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(T.RENAMES)) + "), v AS (SELECT conv_id, i, t, CASE i " + " ".join(f"WHEN {i} THEN regexp_replace(t, '\\b{a}\\b', '{b}', 'g')" for i, (a, b) in enumerate(T.RENAMES)) + " END AS v FROM c, r) SELECT row_number() OVER (ORDER BY conv_id, i) - 1 AS id, conv_id, i AS variant, v AS text FROM v WHERE v <> t")
 def single_renames(spark, sf_dir):
     """One rename at a time, kept where it changes the text, numbered in order."""
-    return _single_renames(table(spark, sf_dir, "conversations").where("turn = 0 and conv_id < 61"))
+    return _single_renames(table(spark, sf_dir, "conversations").where("turn = 0"))
 
 
 @query()
 def single_renames_all(spark, sf_dir):
-    """The same over all first turns."""
+    """The same, under the name its brute-force test knows."""
     return _single_renames(table(spark, sf_dir, "conversations").where("turn = 0"))
 
 
@@ -377,6 +391,14 @@ def problem_split(spark, sf_dir):
     return c.select("conv_id", "turn", T.problem(doc).alias("prompt"), T.first_method(doc).alias("body"))
 
 
+@query("WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN text WHEN turn % 3 = 1 THEN text || '# Solution' || chr(10) ELSE text || '# Solution' || chr(10) || ' x' || conv_id || ' # Solution' END AS doc FROM conversations) SELECT conv_id, turn, left(doc, strpos(doc, '# Solution') - 1) AS prompt, trim(substr(doc, strpos(doc, '# Solution') + 10), ' ' || chr(10)) AS solution FROM c WHERE strpos(doc, '# Solution') > 1 AND trim(left(doc, strpos(doc, '# Solution') - 1), ' ' || chr(10)) <> '' AND trim(substr(doc, strpos(doc, '# Solution') + 10), ' ' || chr(10)) <> ''")
+def solution_split(spark, sf_dir):
+    """Prompt and solution around the mark, both more than blanks."""
+    tail = F.when(F.col("turn") % 3 == 2, "").when(F.col("turn") % 3 == 1, "# Solution\n").otherwise(F.concat(F.lit("# Solution\n x"), F.col("conv_id"), F.lit(" # Solution")))
+    c = table(spark, sf_dir, "conversations").where(T.present(F.col("text"))).select("conv_id", "turn", K.once(T.solution_split(F.concat("text", tail))).alias("s"))
+    return c.where("s is not null").select("conv_id", "turn", "s.prompt", "s.solution")
+
+
 _WRONG = "CASE turn % 5 WHEN 0 THEN 'def a():' || chr(10) || ' pass' || chr(10) || 'class B: x' || chr(10) || text WHEN 1 THEN 'def a():' || chr(10) || 'def b():' || chr(10) || 'x' WHEN 2 THEN '#include <x>' || chr(10) || 'def a(): return 1' || chr(10) || text || chr(10) || 'z' WHEN 3 THEN '<answer>short</answer>' || chr(10) || 'def a():' || chr(10) || 'return' ELSE text END"
 
 
@@ -412,7 +434,7 @@ def rewards(spark, sf_dir):
     return c.select("conv_id", "turn", T.correctness_reward(F.col("c")).alias("correctness"), T.format_reward(F.col("c")).alias("format"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 3), '_') AS fn FROM conversations")
+@query("SELECT conv_id, turn, 'solve_' || array_to_string(list_slice(regexp_extract_all(text, '[a-z]+'), 1, 3), '_') AS fn FROM conversations")
 def function_names(spark, sf_dir):
     """Names from the first words."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.function_name(F.col("text")).alias("fn"))

@@ -91,14 +91,19 @@ def stalls(samples: DataFrame) -> DataFrame:
 
 
 def reweight_each(stream: DataFrame, settle: Any, every: int = 2000, least: int = 16_000):
-    """A writer that hands each batch's window means to ``settle``, windows with enough updates only.
+    """A writer that hands window means to ``settle``, windows with enough updates only.
 
-    Small side files (boosts, references) are read inside ``settle``, so each batch sees their present content.
+    Windows are aggregated in the stream's state, so one that several batches reach is whole: it is handed over again,
+    as it stands, after each batch that changed it, and what came before is to be replaced.  Rows are one a window and
+    domain.  Side files (boosts, references) are read inside ``settle``, so each batch sees their present content.
     """
+    told: dict[int, int] = {}
 
-    def batch(df: DataFrame, _: int) -> None:
-        means = count_windows(df, F.col("step"), every, "domain", "loss")
-        enough = means.groupBy("window").agg(F.sum("updates").alias("n")).where(F.col("n") >= least).select("window")
-        settle(means.join(enough, "window"))
+    def batch(means: DataFrame, _: int) -> None:
+        totals = means.groupBy("window").agg(F.sum("updates").alias("n")).where(F.col("n") >= least).collect()  # a row a window
+        new = [r["window"] for r in totals if told.get(r["window"]) != r["n"]]
+        told.update({r["window"]: r["n"] for r in totals})
+        if new:
+            settle(means.where(F.col("window").isin(new)))
 
-    return stream.writeStream.foreachBatch(batch)
+    return count_windows(stream, F.col("step"), every, "domain", "loss").writeStream.outputMode("complete").foreachBatch(batch)

@@ -216,3 +216,49 @@ def test_generator_retries(spark):
 
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, p string")
     assert dict(values(hooks.generated(df, "p", client), "id", "reply")) == {1: "OK", 2: "", 3: ""}
+
+
+def test_first_wins_keeps_null_orders(spark):
+    df = spark.createDataFrame([(None, "a"), (3, "a"), (1, "b")], "id int, k string")
+    assert sorted(values(dedup.first_wins(df, F.col("k"), ["id"]), "k")) == [("a",), ("b",)]
+
+
+def test_first_key_keeps_repeated_rows(spark):
+    keys = spark.createDataFrame([("ab", 1), ("a", 0)], "key string, ord int")
+    df = spark.createDataFrame([("xAb",), ("xAb",), ("b",), (None,)], "t string")
+    assert sorted((r["t"] or "", r["key"] or "") for r in hooks.first_key(df, keys, "t").collect()) == [("", ""), ("b", ""), ("xAb", "a"), ("xAb", "a")]
+
+
+def test_generator_failures(spark):
+    def client(p):
+        if "bad" in p:
+            raise RuntimeError
+        return p
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, p string")
+    assert values(hooks.generated(df, "p", client, wait=0.01, failed="drop"), "id") == [(1,)]
+    with pytest.raises(Exception):  # noqa: B017 - Spark's own
+        hooks.generated(df, "p", client, failed="raise").collect()
+
+
+def test_hooks_score_and_verify(spark):
+    df = spark.createDataFrame([("def f(x):\n    return x + 1", "def check(g):\n    assert g(1) == 2", "f"), ("def f(x):\n    return x", "def check(g):\n    assert g(1) == 2", "f")], "c string, t string, e string")
+    assert [r[0] for r in df.select(hooks.verified(F.col("c"), F.col("t"), F.col("e"))).collect()] == [True, False]
+    assert [r[0] for r in df.select(hooks.scored(F.col("e"), len)).collect()] == [1.0, 1.0]
+
+
+@pytest.mark.parametrize(("text", "want"), [("p\n# Solution\n s # Solution", ("p\n", "s # Solution")), ("# Solution x", None), ("p # Solution \n", None), ("p", None), (None, None)])
+def test_solution_split(spark, text, want):
+    got = one(spark, text, T.solution_split(F.col("t")))
+    assert (got and tuple(got)) == want
+
+
+def test_function_name_is_the_first_lower_case_runs(spark):
+    assert one(spark, "Find the Longest path of x", T.function_name(F.col("t"))) == "solve_ind_the_ongest"
+
+
+def test_a_bad_row_stops_the_write(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    assert quality.all_or_nothing(df.where("not isnan(x)"), quality.finite(F.col("x"))).count() == 1
+    with pytest.raises(ValueError):
+        quality.all_or_nothing(df, quality.finite(F.col("x")))

@@ -100,3 +100,48 @@ def test_log_lines(spark):
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert telemetry.parsed(df).first()[:] == (1200, 115_000, 1.087, 3e-4, 9.12, 7183.0)
     assert sorted(tuple(r) for r in telemetry.domain_losses(df).collect()) == [("math_easy", 1.5), ("web_hard", 2.75)]
+
+
+def test_tokenbin_filters_ranges_and_appends(spark, tmp_path):
+    tokenbin.register(spark)
+    a = np.arange(32 * 5, dtype="<u2")
+    a.tofile(tmp_path / "s0.bin")
+    read = lambda path, **o: spark.read.format("tokenbin").options(path=str(path), seq_len=32, **o).load()
+    df = read(tmp_path)
+    assert df.count() == 5 and df.where("seq_id = 1").count() == 1 and df.count() == 5
+    assert sorted(r["seq_id"] for r in read(tmp_path, first=1, limit=3).collect()) == [1, 2]
+    out = tmp_path / "out"
+    put = lambda mode: df.orderBy("seq_id").coalesce(1).write.format("tokenbin").option("path", str(out)).mode(mode).save()
+    put("append")
+    put("append")
+    assert sorted(p.name for p in out.iterdir()) == ["shard_00000.bin", "shard_00001.bin"]
+    assert read(out).count() == 10 and read(out, files=1).count() == 5
+    put("overwrite")
+    assert [p.name for p in out.iterdir()] == ["shard_00000.bin"] and np.fromfile(out / "shard_00000.bin", "<u2").tolist() == a.tolist()
+
+
+def test_windows_across_batches_are_whole(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], float(i)) for i in range(1, 41)]
+    for k in range(4):
+        spark.createDataFrame(rows[k * 10 : k * 10 + 10], "step long, domain string, loss double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    last = {}
+
+    def settle(means):
+        last.update({(r["window"], r["domain"]): (r["updates"], r["mean_loss"]) for r in means.collect()})
+
+    stream = spark.readStream.schema("step long, domain string, loss double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    q = telemetry.reweight_each(stream, settle, 15, 3).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert q.awaitTermination(120)
+    whole = telemetry.count_windows(spark.createDataFrame(rows, "step long, domain string, loss double"), F.col("step"), 15, "domain", "loss")
+    assert last == {(r["window"], r["domain"]): (r["updates"], r["mean_loss"]) for r in whole.collect()}
+
+
+def test_read_column_folder_size_and_formats(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2)], "body string, n int").coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert sorted(r["text"] for r in files.read_column(spark, str(tmp_path / "p"), "body").collect()) == ["a", "b"]
+    size = files.folder_size(spark, str(tmp_path / "p")).first()
+    assert size["files"] == 1 and size["bytes"] == sum(p.stat().st_size for p in (tmp_path / "p").glob("*.parquet"))
+    df = spark.createDataFrame([("qa", "x"), ("book", "y")], "format_type string, text string")
+    for _ in range(2):
+        files.write_by_format(df, str(tmp_path / "f"))
+    assert sorted((r["format_type"], r["text"]) for r in spark.read.json(str(tmp_path / "f")).collect()) == [("book", "y")] * 2 + [("qa", "x")] * 2
