@@ -18,9 +18,9 @@ import regex
 
 from corpusmill.llm.memos import claim
 
-#: Entries a worker's memo holds before it starts anew, and the longest piece it keeps: some 80 MB at most; a bound on
+#: Entries a worker's memo holds before it starts anew, and the longest piece it keeps: some 180 MB at most; a bound on
 #: memory, not on what is encoded.
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 32
+MEMO_ENTRIES, MEMO_LENGTH = 900_000, 32
 
 #: The pre-token patterns of the two vocabularies, as their files state them.
 _BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -57,10 +57,11 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.model = self.tokenizer.model
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)", regex.IGNORECASE)
-        self.letters = dict(enumerate(_byte_letters()))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.any_case = any(t.normalized for t in added)
         self.entries = entries
+        self.letters = dict(enumerate(_byte_letters()))
         self.raw = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.memo: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
@@ -69,6 +70,12 @@ class PieceEncoder:
         """Ids by the library's own pipeline over the whole text."""
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        """Whether an added token of the vocabulary may stand in a text."""
+        if any(a in text for a in self.added):
+            return True
+        return self.any_case and any(a.lower() in text.lower() for a in self.added)
+
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token."""
         ids = self.parts.get(part)
@@ -81,10 +88,10 @@ class PieceEncoder:
 
     def _pieces(self, words: list[str]) -> list[bytes | None]:
         """Ids of pieces between spaces; long ones aren't kept."""
-        if len(self.memo) + len(self.parts) > self.entries:
-            self.memo.clear()
-            self.parts.clear()
         memo, long = self.memo, {}
+        if len(memo) + len(self.parts) > self.entries:
+            memo.clear()
+            self.parts.clear()
         for w in set(words).difference(memo):
             (memo if len(w) <= MEMO_LENGTH else long)[w] = self._piece(w)
         return [memo[w] if w in memo else long[w] for w in words] if long else list(map(memo.__getitem__, words))
@@ -93,7 +100,7 @@ class PieceEncoder:
         """Ids of what stands between two spaces; None if a blank beside a space forbids the cut."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if self.added.search(piece):
+        if self._has_added(piece):
             return self.whole(" " + piece)
         space = "" if self.by_word else " "
         letters, end = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1])
@@ -119,7 +126,7 @@ class PieceEncoder:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if not first or first[-1].isspace() or self.added.search(text):
+        if not first or first[-1].isspace() or self._has_added(text):
             return self.whole(text)
         found = self._pieces(rest)
         return self.whole(text) if None in found else self.whole(first) + b"".join(found)

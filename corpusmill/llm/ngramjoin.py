@@ -228,6 +228,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, th
     left = materialize(_checked(pairs, made, ["p2", "p3"], shared), "candidates")
     links = materialize(_checked(left, made, ["tokens"], lambda x, y: linked(x, y, threshold)).distinct(), "links")
     discard(made, left)
+    release(docs.sparkSession)
     return links
 
 
@@ -340,6 +341,8 @@ def across(docs: DataFrame, nodes: DataFrame, known: DataFrame, classes: DataFra
     parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
     members = materialize(homes.join(parts, "home").select("node", "n", "c", "k", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "members")
     placed = materialize(left.select("token", "node").join(members, "node"), "placed")
+    discard(left, homes)
+    release(known.sparkSession)
     in_block = placed.groupBy("token", "block").agg(F.max("k").alias("bk"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("block", "other")
     # Of two blocks the node of the one with the smaller class meets the other one.
     turn = F.struct("k", "block") <= F.struct(F.col("bk").alias("k"), F.col("other").alias("block"))
@@ -352,7 +355,8 @@ def across(docs: DataFrame, nodes: DataFrame, known: DataFrame, classes: DataFra
     release(known.sparkSession)
     block = members.join(meeting.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("side"), "node", "n", "c")
     sides = materialize(meeting.unionByName(block), "sides")
-    discard(left, homes, placed, meeting)
+    discard(placed, meeting)
+    release(known.sparkSession)
     made = _sets(docs, nodes, sides.select("node").distinct(), words, threshold)
     stay = materialize(_swept(_sides(sides, made, ["p2", "p3"]), threshold, False).distinct(), "stay")
     links = materialize(_swept(_sides(sides.join(stay, ["block", "side", "node"], "left_semi"), made, ["tokens"]), threshold, True).distinct(), "links")
@@ -366,24 +370,29 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
     spark = lean(docs.sparkSession)
     heavy = spark.sparkContext.broadcast(heavy_tokens(docs, words))  # at most HEAVY
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int | None] = set()
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            n, names, tokens = [], [], []
+            out = [[], [], []]
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
-                name = node_of(s) if len(s) else None
+                own = node_of(s)
                 # A task gives the tokens of equal sets once.
-                tokens.append(prefix(s, heavy.value, threshold).astype(np.int64) if len(s) and name not in met else np.empty(0, np.int64))
-                met.add(name)
-                n.append(len(s))
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "tokens"])
-
-    scanned = materialize(_texts(docs).mapInArrow(scan, "doc_id long, n_shingles long, node long, tokens array<long>"), "prefixes")
-    found = materialize(scanned.drop("tokens"), "found")
+                if len(s) and own not in met:
+                    met.add(own)
+                    for column, v in zip(out, (own, len(s), prefix(s, heavy.value, threshold).astype(np.int64))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+
+    # Sets are made once for names and once for postings: cheaper than a table of prefixes beside their shuffle.
+    found = materialize(_texts(docs).mapInArrow(name, "doc_id long, n_shingles long, node long"), "found")
     nodes = materialize(found.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key")), "nodes")
-    postings = scanned.select(F.col("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("tokens").alias("token"))
+    postings = _texts(docs).mapInArrow(post, "node long, n int, tokens array<long>").select("node", "n", F.explode("tokens").alias("token"))
 
     order = Window.partitionBy("token").orderBy("n", "node")
     near = lambda f: F.struct(f("node").over(order).alias("node"), f("n").over(order).alias("n"))
@@ -392,17 +401,19 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
     fresh = F.col("before").isNull() | (F.col("before") != F.col("node"))
     ends = F.filter(F.array_distinct(F.array("least", *[f"near{k}" for k in range(1, BESIDE + 1)])), lambda o: o["node"].isNotNull() & (o["node"] != F.col("node")) & _alike(o["n"], F.col("n"), threshold))
     shared = materialize(held.where(fresh & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("token", "node", "n", ends.alias("ends")), "shared")
-    discard(scanned)
     release(spark)
 
     # Neighbours stand side by side at some of their tokens only, so half the count is asked for.
     met = shared.select("token", F.col("node").alias("x"), "n", F.explode("ends").alias("o")).select("token", "x", "n", F.col("o.node").alias("y"), F.col("o.n").alias("m"))
     tried = materialize(_candidates(met, threshold, 0.5), "pairs")
+    release(spark)
     links = verified(docs, nodes, tried, words, threshold)
     known, classes = _by_class(shared, links)
+    discard(shared, tried)
+    release(spark)
     last = across(docs, nodes, known, classes, words, threshold)
     whole = materialize(links.unionByName(last), "links")
-    discard(shared, tried, links, last, known, nodes)
+    discard(links, last, known, nodes)
     return found, whole, connected_components(whole)
 
 
