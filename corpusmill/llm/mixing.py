@@ -10,7 +10,8 @@ is the logarithm of the row count.  At most 32 residuals of each size class come
 meets all lesser ones at once: they take or give its mass in shares fixed before the draw, so every mean stays and the
 large one is settled; then the next, down to the least ones, which pair again.  The last one of all is taken with the
 probability that its mass says.  So every document's mean number of copies is its fraction, and a source misses its
-target by about its least documents.
+target by less than the last unsettled document: one of its least, unless what reached the root beside a large one
+couldn't bear that.
 
 Rows that agree in source, id and size are one unit with a multiplicity: all but one fraction of a unit is whole,
 so no bucket grows with repeated rows.  Random numbers are hashes of keys and the seed, so reruns agree whatever

@@ -85,6 +85,37 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
+    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), alone=0).collect())
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)}
+
+
+def test_blocks_and_chunks_lose_no_link(spark, monkeypatch):
+    """Blocks of a few sets, classes of two as homes: every way through the blocks is taken."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 300)
+    monkeypatch.setattr(ngramjoin, "LARGE_CLASS", 2)
+    rows = near_copies(7)
+    got = ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == sorted(classes(rows))
+
+
+def test_other_orders_must_meet(spark):
+    """A link passes only if its prefixes share tokens under both other orders."""
+    x = np.sort(np.random.default_rng(1).choice(2**62, 40, replace=False).astype(np.uint64))
+    y = np.sort(np.concatenate([x[:-4], np.array([1, 2, 3, 4], np.uint64)]))
+    assert ngramjoin.linked(x, y) and all(len(np.intersect1d(a, b)) for a, b in zip(ngramjoin.other_prefixes(x), ngramjoin.other_prefixes(y)))
+    index = ngramjoin.Index([x, y])
+    assert index.shared(x).tolist() == [40, 36]
+    rows = [(1, 0, 0, 5, 40, 1), (1, 0, 1, 6, 40, 2)]
+    made = [r + tuple(bytearray(p.tobytes()) for p in ngramjoin.other_prefixes(s)) for r, s in zip(rows, (x, y))]
+    kind = "block long, chunk int, side int, node long, n int, c long, p2 binary, p3 binary"
+    assert ngramjoin._swept(spark.createDataFrame(made, kind), 75, False).count() == 2
+    for k in (6, 7):  # one order that shares nothing is enough to stop a pair
+        other = [made[0], made[1][:k] + (bytearray(np.arange(5, dtype=np.int32).tobytes()),) + made[1][k + 1 :]]
+        assert ngramjoin._swept(spark.createDataFrame(other, kind), 75, False).count() == 0
+
+
 def bm25(docs, q):
     bags = [(i, search.terms(t)) for i, t in docs]
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / max(1, len(bags))
@@ -113,6 +144,16 @@ def test_search_is_exact(spark):
     assert search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_rows_of_their_own(spark):
+    """Null ids, equal texts, repeated query ids and rows, ties, a very long text, clashing columns."""
+    docs = [(None, "aa bb"), (3, "aa bb"), (1, "aa bb"), (1, "aa cc"), (4, "dd " * 30_000 + "aa"), (5, None)]
+    df = spark.createDataFrame([(*r, "x", 1.0, 2) for r in docs], "id long, text string, names string, score double, rank int").repartition(3)
+    asked = spark.createDataFrame([(7, "aa bb"), (7, "cc"), (8, "aa bb"), (8, "aa bb"), (None, "cc"), (9, "")], "id long, text string")
+    got = sorted(((r["query_id"] or -1, r["rank"], r["doc_id"]) for r in search.top_k(df, asked, 3).collect()), key=str)
+    three = [(1, 1), (2, 3), (3, None)]
+    assert got == sorted([(q, k, d) for q in (7, 8, 8) for k, d in three] + [(7, 1, 1), (-1, 1, 1)], key=str)
+
+
 def test_pruning_reads_less():
     rng = random.Random(9)
     bags = [Counter({rng.randrange(50): 1 for _ in range(5)} | ({999: 3} if i < 20 else {})) for i in range(5000)]

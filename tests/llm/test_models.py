@@ -138,6 +138,35 @@ def test_mix(spark, odd_docs, no_docs):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_copies_have_their_fractions_as_means(spark):
+    sizes = {"a": [3, 50, 7, 400, 20], "b": [9, 9, 30, 11], "c": [1000, 2, 5]}
+    rows = [(k * 10 + i, " ".join(["w"] * n), f"{seed:03d}{s}") for seed in range(300) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    # Three hundred groups of sources, each with weights and targets of its own place in the turn of weights.
+    got = mixing.per_row(mixing.mix(df)).where("size > 0").collect()
+    error, n = defaultdict(float), defaultdict(int)
+    for r in got:
+        fraction = r["target"] / r["source_size"]
+        assert abs(r["copies"] - fraction) < 1 + 1e-9
+        error[r["doc_id"]] += r["copies"] - fraction
+        n[r["doc_id"]] += 1
+    assert all(abs(error[i] / n[i]) < 4 * 0.5 / n[i] ** 0.5 for i in n)
+
+
+def test_large_units_settle_first(spark):
+    rows = [(i, " ".join(["w"] * n), s) for s in "ab" for i, n in enumerate([20_000, 9000, 500, 100, 40, 20, 10, 5, 3, 2, 1, 1, 1] + [30] * 40)]
+    got = mixing.per_row(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        # Nothing lesser can bear the two largest; beside them every unit is settled.
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20_000
+    rows = [(i, " ".join(["w"] * n), s) for s in "ab" for i, n in enumerate([60, 50, 45, 40] + [30] * 20 + [20, 15, 9, 5, 3, 2, 1, 1])]
+    got = mixing.per_row(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 30
+
+
 def test_word_count(spark):
     texts = [None, "", " a\tb\x0bc\n", "é x y", "one"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -179,6 +208,44 @@ def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard", "pii", "mixing", "packing"]
 
 
+def maximal_by_definition(x):
+    """The best segment, the shortest of equals, then the same on either side of it."""
+    found = []
+
+    def inside(low, high):
+        best = None
+        for i in range(low, high):
+            total = 0.0
+            for j in range(i, high):
+                total += x[j]
+                if total > 1e-12 and (best is None or total > best[0] + 1e-9):
+                    best = (total, i, j + 1)
+        if best:
+            inside(low, best[1])
+            found.append(best[1:])
+            inside(best[2], high)
+
+    inside(0, len(x))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_segments_one_by_one(seed):
+    x = np.random.default_rng(seed).normal(-0.3, 1, 1 + seed % 24)
+    assert [(a, b) for a, b, _ in toxicity.segments(x)] == maximal_by_definition(x)
+
+
+def test_segments_are_linear():
+    import time
+
+    rng = np.random.default_rng(1)
+    for n in (80_000, 800_000):
+        x = np.where(rng.random(n) < 0.2, 1.0, -0.4)
+        began = time.process_time()
+        toxicity.segments(x)
+        assert time.process_time() - began < n * 5e-6
+
+
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert packing.CAPACITY == 2048

@@ -21,13 +21,21 @@ def test_pieces_give_the_ids_of_whole_texts(name, spark, sf_dir):
     assert [e.encode(t) for t in texts] == [e.whole(t) if t else b"" for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_are_the_librarys(name):
+    rng, e, t = random.Random(5), PieceEncoder(vocabulary_path(name), 50), Tokenizer.from_file(vocabulary_path(name))
+    parts = ["a", "B", "the", "İ", "é", "é", "  ", " ", "\n", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "12", "!", "ǅ", "😀", "x" * 40, "word", "ﬁ", "Σ"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 12)))
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
 def plain(name, rows):
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in rows]
 
 
