@@ -15,7 +15,7 @@ expanded into all pairs:
    size, are dealt by hash to blocks of about ``BLOCK`` tokens; a node meets a block of other classes when enough of its
    prefix tokens are in prefixes of the block (counts by block, not by pair);
 3. a block's nodes and those that meet it are swept twice: first by the prefixes under the two other orders, then, for
-   the nodes left, by whole sets through a small inverted index.  A sweep joins classes as it goes.
+   the nodes left, by whole sets through an inverted index of the block.  A sweep joins classes as it goes.
 
 Every pair that reaches the threshold is inside a class or compared, so components are exact.  The links are a subset
 that spans the components and only serves them: pairs inside a class are left out once it is known, so links don't
@@ -344,7 +344,7 @@ def across(docs: DataFrame, nodes: DataFrame, known: DataFrame, classes: DataFra
     discard(left, homes)
     release(known.sparkSession)
     in_block = placed.groupBy("token", "block").agg(F.max("k").alias("bk"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("block", "other")
-    # Of two blocks the node of the one with the smaller class meets the other one.
+    # Of two blocks the node of the one with the lesser class meets the other one.
     turn = F.struct("k", "block") <= F.struct(F.col("bk").alias("k"), F.col("other").alias("block"))
     meets = turn & ((F.col("c1") != F.col("c2")) | (F.col("c1") != F.col("c"))) & (F.col("hi") * 100 >= F.col("n") * threshold) & (F.col("n") * 100 >= F.col("lo") * threshold)
     met = placed.join(in_block, "token").where(meets).groupBy("node", "n", "c", "other").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

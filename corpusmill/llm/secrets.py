@@ -61,7 +61,7 @@ def base_matches(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def classes(word: str) -> str:
-    """A word's characters by class: digit 0, a-f a, other small letters z, A-F A, other capitals Z, signs as they are."""
+    """A word's characters by class: digit 0, a-f a, other lower-case letters z, A-F A, other capitals Z, signs as they are."""
     return word.translate(_CLASSES)
 
 
@@ -160,7 +160,7 @@ class Automaton:
                 red.append(x)
 
     def score(self, word: str) -> float:
-        """Mean log-likelihood a character, the end included; what a state never met has a small likelihood and stays there."""
+        """Mean log-likelihood a character, the end included; what a state never met has a slight likelihood and stays there."""
         return self._total(classes(word), -math.inf) / (len(word) + 1)
 
     def margin(self, shape: str) -> float:
