@@ -1,8 +1,12 @@
 """A training-corpus pipeline of five operators over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
-columns of ``documents``.  No SQL expresses learned scores, bootstrapped spans or packing, so the pipeline is
-tested against brute force on a small fixture.
+columns of ``documents``.  No SQL expresses learned scores, bootstrapped spans or packing, so the stages are tested one
+by one: operators against brute force, the pipeline for columns, rows and sequence lengths.
+
+Defined results of every stage: a null text is empty where it is read and stays null where it is kept; null or
+repeated ids are rows of their own; columns that aren't named here stay as they are, whatever their names; an empty
+table gives an empty one; very long texts are whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays; texts without words all stay."""
     return ngramjoin.representatives(docs)
 
 
@@ -32,7 +36,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a document without words is never taken."""
     return mixing.mixture(docs)
 
 
