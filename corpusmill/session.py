@@ -70,7 +70,7 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches than the default 10,000 rows, as whole texts and recordings are long."""
+    """Arrow batches below the default 10,000 rows, as whole texts and recordings are long."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or int(now) > most:

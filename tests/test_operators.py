@@ -1,4 +1,4 @@
-"""Operators against plain Python on small inputs."""
+"""Operators against plain Python on tiny inputs."""
 
 import math
 import random
