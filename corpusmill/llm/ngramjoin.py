@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from corpusmill.llm.components import connected_components
+from corpusmill.llm.memos import tidy
 from corpusmill.session import discard, lean, materialize, release
 
 WORDS, THRESHOLD = 5, 75
@@ -144,7 +145,7 @@ def heavy_tokens(docs: DataFrame, words: int = WORDS, most: int = HEAVY) -> np.n
         top = tally.most_common(TASK_HEAVY)
         yield pa.RecordBatch.from_arrays([pa.array(np.array([t for t, _ in top], np.uint64).astype(np.int64)), pa.array([n for _, n in top], pa.int64())], names=["token", "n"])
 
-    counts = _texts(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = _texts(docs).mapInArrow(tidy("ngrams", count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
     counts = materialize(counts.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "frequent")
     # The least level from which on all tokens fit; a table of at most 1,024 levels.
     sizes, least, held = counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect(), 1 << 20, 0
@@ -201,7 +202,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, ends: DataFrame, words: int, thresh
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     keyed = _texts(docs).select(key.alias("key"), "text").select("key", slot.alias("slot"), "text")
     # Repeated rows of an id, or rows without one, may give a set more than once.
-    made = materialize(keyed.mapInArrow(sets, "node long, p2 binary, p3 binary, tokens binary").dropDuplicates(["node"]), "sets")
+    made = materialize(keyed.mapInArrow(tidy("ngrams", sets), "node long, p2 binary, p3 binary, tokens binary").dropDuplicates(["node"]), "sets")
     discard(wanted)
     return made
 
@@ -305,7 +306,7 @@ def _swept(rows: DataFrame, threshold: int, whole: bool) -> DataFrame:
 
     lean(rows.sparkSession)
     dealt = rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side", "node")
-    return dealt.mapInArrow(sweep, "a long, b long" if whole else "block long, side int, node long")
+    return dealt.mapInArrow(tidy("ngrams", sweep), "a long, b long" if whole else "block long, side int, node long")
 
 
 def _sides(sides: DataFrame, made: DataFrame, columns: list[str]) -> DataFrame:
@@ -390,9 +391,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
     # Sets are made once for names and once for postings: cheaper than a table of prefixes beside their shuffle.
-    found = materialize(_texts(docs).mapInArrow(name, "doc_id long, n_shingles long, node long"), "found")
+    found = materialize(_texts(docs).mapInArrow(tidy("ngrams", name), "doc_id long, n_shingles long, node long"), "found")
     nodes = materialize(found.where("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key")), "nodes")
-    postings = _texts(docs).mapInArrow(post, "node long, n int, tokens array<long>").select("node", "n", F.explode("tokens").alias("token"))
+    postings = _texts(docs).mapInArrow(tidy("ngrams", post), "node long, n int, tokens array<long>").select("node", "n", F.explode("tokens").alias("token"))
 
     order = Window.partitionBy("token").orderBy("n", "node")
     near = lambda f: F.struct(f("node").over(order).alias("node"), f("n").over(order).alias("n"))

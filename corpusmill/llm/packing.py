@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.encoding import encoder, vocabulary_path
+from corpusmill.llm.memos import tidy
 from corpusmill.session import lean, materialize
 
 CAPACITY = 2048
@@ -55,7 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(None, cut), _PIECE)
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.memos import tidy
 from corpusmill.llm.spans import SPANS, digests, rewritten
 from corpusmill.session import materialize
 
@@ -239,7 +240,7 @@ def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Seeds and discoveries of ``row, doc_id, text``: ``row, doc_id, base, spans``; ``row`` is unique."""
-    found = materialize(rows.select("row", "doc_id", "text").mapInArrow(_scan, _FOUND), "identifiers")
+    found = materialize(rows.select("row", "doc_id", "text").mapInArrow(tidy("pii", _scan), _FOUND), "identifiers")
     met = found.select("row", F.explode("met").alias("m")).where("m.kind < 0").select("row", "m.start", "m.stop", "m.instance", "m.run")
     hits = met.join(discovered(found, rounds), "instance").groupBy("row", F.coalesce("run", "start").alias("at")).agg(F.collect_list(F.struct("start", "kind", "stop", "run")).alias("own"))
     # A run that joins covers the words in it.

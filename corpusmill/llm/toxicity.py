@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.memos import tidy
 from corpusmill.session import lean, materialize
 
 CLASS_ROWS, LEXICON, THRESHOLD, TABLE = 8192, 60_000, 0.3, 300_000
@@ -200,11 +201,14 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
                     tally[k][""] += n
                     for f in features(word):
                         tally[k][f] += n
+            words[k].clear()
         names = list(tally[0].keys() | tally[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][f] for f in names], pa.int64()), pa.array([tally[0][f] for f in names], pa.int64())], names=["feature", "c1", "c0"])
+        for at in range(0, len(names), 20_000):
+            own = names[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([tally[1][f] for f in own], pa.int64()), pa.array([tally[0][f] for f in own], pa.int64())], names=["feature", "c1", "c0"])
 
     # Partial sums leave the tasks; the features are those of the bounded sample.
-    counts = rows.mapInArrow(count, "feature string, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    counts = rows.mapInArrow(tidy("toxicity", count), "feature string, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     counts = materialize(counts, "features")
     whole = counts.where("feature = ''").collect()  # one row
     toxic, clean = (whole[0]["c1"], whole[0]["c0"]) if whole else (0, 0)
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, entrie
             words = [(t.as_py() or "").split() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.normal(best_segment(held.value.scores(w)), len(w)) for w in words], pa.float64())], names=["toxic", "z"])
 
-    laws = {r["toxic"]: r for r in rows.mapInArrow(moments, "toxic int, z double").groupBy("toxic").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).collect()}  # two rows
+    laws = {r["toxic"]: r for r in rows.mapInArrow(tidy("toxicity", moments), "toxic int, z double").groupBy("toxic").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).collect()}  # two rows
     if 0 in laws and 1 in laws:
         scale = {k: max(r["s"] or 0.0, 0.25) * math.sqrt(6) / math.pi for k, r in laws.items()}
         lexicon.laws = (laws[0]["m"] - 0.5772 * scale[0], scale[0], laws[1]["m"] - 0.5772 * scale[1], scale[1])
@@ -248,7 +252,7 @@ def scored(texts: DataFrame, lexicon: Lexicon, keep: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(p, pa.float64()), pa.array(found, kind)], names=[*names, "__score", "__segments"])
 
     kinds = [f"`{c}` {t}" for c, t in texts.dtypes if keep or c != "text"]
-    return texts.mapInArrow(score, ", ".join([*kinds, "__score double, __segments array<struct<first:int,stop:int,sum:double>>"]))
+    return texts.mapInArrow(tidy("toxicity", score), ", ".join([*kinds, "__score double, __segments array<struct<first:int,stop:int,sum:double>>"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

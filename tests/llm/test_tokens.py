@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import edits, packing, tokenfiles
+from corpusmill.llm import edits, memos, packing, tokenfiles
 from corpusmill.llm.encoding import PieceEncoder, vocabulary_path
 
 TEXTS = ["", " ", "a  b", " x ", "It's we'll don't 12345 4a5b", "A\n B\tc", "İstanbul ΟΔΟΣ é́ straße", "<|endoftext|> x <|startoftext|>", "a😀 b", "x" * 3000, "…“quoted” – text’s", "Z.\nThe end! (no)?"]
@@ -133,3 +134,15 @@ def test_recount_defined_cases(spark, odd_docs, no_docs):
     got = [(str(r["doc_id"]), r["n_before"], r["n_after"]) for r in edits.recount(with_edits).collect()]
     assert sorted(got) == sorted(want)
     assert edits.recount(no_docs.withColumn("edits", F.array().cast("array<struct<start:int,stop:int,text:string>>"))).count() == 0
+
+
+def test_memos_of_one_owner_at_a_time():
+    """Work of another owner drops the memo, work without an owner keeps it, and rows pass as they are."""
+    memos._HELD.clear()
+    first = memos.claim("first", list)
+    rows = [pa.RecordBatch.from_pydict({"a": [1, 2]}), pa.RecordBatch.from_pydict({"a": []})]
+    assert list(memos.tidy(None, iter)(rows)) == rows
+    assert memos.claim("first", list) is first
+    assert list(memos.tidy("second", iter)(rows)) == rows
+    assert memos.claim("first", list) is not first
+    memos._HELD.clear()
