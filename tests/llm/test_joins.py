@@ -162,6 +162,32 @@ def test_pruning_reads_less():
     assert set(ids.tolist()) <= set(range(20)) and read < 1200
 
 
+def test_least_score_carries_over_shards():
+    """A query gives k rows, however many shards there are, equal to brute force; a shard of worse documents gives none."""
+    rng = random.Random(11)
+    tongues = [[rng.randrange(1 << 40) for _ in range(400)] for _ in range(3)]
+    bag = lambda v: Counter(v[min(int(rng.paretovariate(0.5)), 399)] for _ in range(rng.choice([5, 40, 90])))
+    bags = [bag(tongues[i % 3]) for i in range(1500)] + [Counter(), Counter()]
+    bags += bags[:40]
+    ids = [None, *range(len(bags) - 1)]
+    mean, df = sum(sum(b.values()) for b in bags) / len(bags), Counter(t for b in bags for t in b)
+    weigh = lambda b: {t: n * math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) for t, n in b.items()}
+    score = lambda w, b: round(sum(w[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t, n in b.items() if t in w), 9)
+    shards = [search.Shard(ids[a : a + 600], bags[a : a + 600], mean) for a in range(0, len(bags), 600)]
+    asked = [weigh(bags[q]) for q in range(0, 300, 4)]
+    found = search.Found(len(asked), 5)
+    for shard in [*shards, search.Shard([7000, 7001], [Counter({t: 1}) for t in tongues[0][1:3]], mean)]:
+        own = [(shard.find(np.array([*w])), np.array([*w.values()])) for w in asked]
+        q, place, scores, _ = shard.search(own, found.least, 5)
+        found.add(q, shard.ids[place], shard.null[place], scores)
+    assert not len(q) and len(found.queries) == 5 * len(asked)
+    for q, w in enumerate(asked):
+        best = sorted((-score(w, b), i is None, i or 0) for i, b in zip(ids, bags))[:5]
+        own = found.queries == q
+        assert [None if n else i for i, n in zip(found.ids[own].tolist(), found.null[own])] == [None if n else i for _, n, i in best]
+        assert np.allclose(found.scores[own], [-s for s, _, _ in best], atol=2e-9)
+
+
 def wav(notes, lead=0.0):
     import io
     import wave
