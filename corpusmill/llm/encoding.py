@@ -60,6 +60,11 @@ class PieceEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
         self.any_case = any(t.normalized for t in added)
+        # A text without the character that all added tokens begin with holds none; no letter, as case changes letters.
+        firsts = {a[:1] for a in self.added}
+        self.first = firsts.pop() if len(firsts) == 1 and not "".join(firsts).isalpha() else ""
+        # Whether lower case is all that the normalizer does to plain Latin characters, among which no mark combines.
+        self.lowers = self.by_word and all(self.tokenizer.normalizer.normalize_str(chr(c)) == chr(c).lower() for r in (range(0x21, 0x7F), range(0xA1, 0x250)) for c in r)
         self.entries = entries
         self.letters = dict(enumerate(_byte_letters()))
         self.raw = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -72,6 +77,8 @@ class PieceEncoder:
 
     def _has_added(self, text: str) -> bool:
         """Whether an added token of the vocabulary may stand in a text."""
+        if self.first and self.first not in text:
+            return False
         if any(a in text for a in self.added):
             return True
         return self.any_case and any(a.lower() in text.lower() for a in self.added)
@@ -100,20 +107,21 @@ class PieceEncoder:
         """Ids of what stands between two spaces; None if a blank beside a space forbids the cut."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if self._has_added(piece):
+        if (not self.first or self.first in piece) and self._has_added(piece):
             return self.whole(" " + piece)
         space = "" if self.by_word else " "
         letters, end = (piece, "") if piece.isalpha() else (piece[:-1], piece[-1])
         if letters.isalpha() and end in ".,;:!?" and (letters.isascii() or _PLAIN.fullmatch(letters)):
             if self.by_word:
-                letters = letters.lower() if letters.isascii() else self.tokenizer.normalizer.normalize_str(letters)
+                letters = letters.lower() if self.lowers or letters.isascii() else self.tokenizer.normalizer.normalize_str(letters)
             # A lower-cased letter may gain a mark, which is no letter.
             if letters.isalpha():
                 return self._part(space + letters) + self._part(end) if end else self._part(space + letters)
         if _PLAIN.fullmatch(piece) is None:
             return self.whole(" " + piece)
         if self.by_word:
-            return b"".join([self._part(p) for p in _WORD_PATTERN.findall(self.tokenizer.normalizer.normalize_str(piece))])
+            plain = piece.lower() if self.lowers and "\n" not in piece else self.tokenizer.normalizer.normalize_str(piece)
+            return b"".join([self._part(p) for p in _WORD_PATTERN.findall(plain)])
         return b"".join([self._part(p) for p in _BYTE_PATTERN.findall(" " + piece)])
 
     def count_after_space(self, words: list[str]) -> int | None:
@@ -128,6 +136,9 @@ class PieceEncoder:
         first, *rest = text.split(" ")
         if not first or first[-1].isspace() or self._has_added(text):
             return self.whole(text)
+        if self.by_word:  # a first piece is encoded like others, as spaces leave no trace
+            found = self._pieces([first, *rest])
+            return self.whole(text) if None in found else b"".join(found)
         found = self._pieces(rest)
         return self.whole(text) if None in found else self.whole(first) + b"".join(found)
 

@@ -31,6 +31,16 @@ def test_random_texts_are_the_librarys(name):
         assert np.frombuffer(e.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_plain_latin_texts_need_no_library_pipeline(monkeypatch):
+    """Neither the whole pipeline, nor the normalizer, for a first piece or for letters with marks."""
+    path = vocabulary_path("word_bpe_49k.json")
+    e, t = PieceEncoder(path), Tokenizer.from_file(path)
+    assert e.lowers and e.first == "<"
+    monkeypatch.setattr(e, "whole", lambda text: pytest.fail(text))
+    for text in ("ÜBER Straße, GARÇON; x=Ünï12 O'Ñ! end.", "ǅ İstanbul İx.", "One", "Ĳ ŉ ſ ŷ. Ÿ"):
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
