@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -188,6 +189,28 @@ def test_least_score_carries_over_shards():
         assert np.allclose(found.scores[own], [-s for s, _, _ in best], atol=2e-9)
 
 
+def test_shards_are_read_one_at_a_time(spark, monkeypatch):
+    """A file's shards are groups of rows of their own, and an opened one takes little beside its postings."""
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(search, "SHARD", 40)
+    docs = spark.createDataFrame([(i, f"a b w{i % 9}") for i in range(200)] + [(900, None)], "id long, text string").coalesce(1)
+    path = search.shards(docs)._written.removeprefix("file://")
+    groups = [pq.ParquetFile(f).metadata for f in Path(path).glob("*.parquet")]
+    assert sum(m.num_rows for m in groups) == 6 and all(m.row_group(g).num_rows == 1 for m in groups for g in range(m.num_row_groups))
+    assert sorted(i for row in search._rows(path) for i in row["ids"]) == [*range(200), 900]
+    rng, n = np.random.default_rng(3), 1 << 21
+    columns = search.index([*range(4096)], np.full(4096, n // 4096), rng.integers(0, 1 << 16, n), rng.integers(1, 9, n))
+    tracemalloc.start()
+    shard = search.Shard.opened(columns, 3.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 8 bytes a score; documents and counts are views.
+    assert len(shard.docs) == n and most < 16 * n
+
+
 def wav(notes, lead=0.0):
     import io
     import wave
