@@ -8,7 +8,8 @@ differing bits over the overlap.
 Recordings with equal fingerprints are one class; classes meet in an inverted index by three of an integer's four
 bytes, so that any errors in one byte are borne.  Every start of a run of equal integers votes in an offset histogram;
 of the ``OFFSETS`` offsets with most votes, the one within the bit error whose overlap tells most against chance wins.
-No bucket is capped: classes, not copies, share a bucket.
+No bucket is capped: classes, not copies, share a bucket.  Tasks hold blocks of classes with their index and pass all
+queries through them, so votes are counted where they fall and only matches leave a task.
 
 Defined results: null, empty or unreadable audio has an empty fingerprint and is a class of its own kind that
 matches nothing; shorter audio than one filter has an empty fingerprint; repeated rows share a class; an empty
@@ -23,13 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import memos
+from corpusmill.llm.tokenfiles import _place
 from corpusmill.session import lean, materialize
 
 RATE, FRAME, HOP, WIDTH, LOW, HIGH = 11_025, 4096, 1365, 16, 28.0, 3520.0
 MIN_COMMON, MAX_ERROR, OFFSETS = 3, 0.25, 8
+#: Bounds on memory, not on what meets: integers of a block of recordings, and meetings, or integers compared, at once (those of one query at least).
+BLOCK, TOGETHER = 1 << 18, 1 << 21
 _BYTES = (0xFFFFFF00, 0xFFFF00FF, 0xFF00FFFF, 0x00FFFFFF)
 THRESHOLDS = (-0.12, 0.0, 0.12)
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -139,33 +145,127 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("id").cast("long").alias("id"), "audio").mapInArrow(make, "id long, prints array<long>")
 
 
+def _cut(n: np.ndarray) -> Iterator[slice]:
+    """Slices of counts that sum up to some ``TOGETHER`` each."""
+    starts = np.flatnonzero(np.diff(np.cumsum(n) // TOGETHER, prepend=-1))
+    yield from map(slice, starts, np.append(starts[1:], len(n)))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` numbers from each start on."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Recordings:
+    """Fingerprints one after the other, and the starts of their runs of equal integers: a held tone repeats one."""
+
+    def __init__(self, ids: list[int], prints: list[np.ndarray]):
+        self.ids, self.size = np.array(ids, np.int64), np.array([len(p) for p in prints], np.int64)
+        self.flat, self.edge = np.concatenate(prints).astype(np.uint32), np.cumsum(self.size) - self.size
+        first = np.ones(len(self.flat), bool)
+        first[1:] = self.flat[1:] != self.flat[:-1]
+        first[self.edge] = True
+        place = np.flatnonzero(first)
+        self.owner = np.searchsorted(self.edge, place, "right") - 1
+        self.at, self.value = place - self.edge[self.owner], self.flat[place]
+
+
+class Block(Recordings):
+    """Recordings with an index of their starts by three bytes of four."""
+
+    def __init__(self, ids: list[int], prints: list[np.ndarray]):
+        super().__init__(ids, prints)
+        keys = [self.value & np.uint32(m) for m in _BYTES]
+        self.parts = [(k[by], by) for k in keys for by in [np.argsort(k, kind="stable")]]
+
+    def votes(self, asked: Recordings, min_common: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Queries, recordings, offsets and the votes they have in common, in the order of queries."""
+        low, n = (np.empty((len(_BYTES), len(asked.value)), np.int64) for _ in range(2))
+        for p, (m, (keys, _)) in enumerate(zip(_BYTES, self.parts)):
+            key = asked.value & np.uint32(m)
+            low[p] = np.searchsorted(keys, key)
+            n[p] = np.searchsorted(keys, key, "right") - low[p]
+        wide, deep = int(self.size.max() + asked.size.max()), len(self.ids)
+        for own in _cut(np.bincount(asked.owner, n.sum(0), len(asked.ids)).astype(np.int64)):
+            at = slice(*np.searchsorted(asked.owner, (own.start, own.stop)))
+            codes = []
+            for p, (_, by) in enumerate(self.parts):
+                x, y = np.repeat(np.arange(at.start, at.stop), n[p, at]), by[_ranges(low[p, at], n[p, at])]
+                # Equal integers meet in all four parts and vote in the first; others meet in one.
+                keep = asked.ids[asked.owner[x]] != self.ids[self.owner[y]]
+                if p:
+                    keep &= asked.value[x] != self.value[y]
+                x, y = x[keep], y[keep]
+                codes.append((asked.owner[x] * deep + self.owner[y]) * wide + self.at[y] - asked.at[x] + int(asked.size.max()))
+            code, common = np.unique(np.concatenate(codes), return_counts=True)
+            code, common = code[common >= min_common], common[common >= min_common]
+            pair, offset = np.divmod(code, wide)
+            yield *np.divmod(pair, deep), offset - int(asked.size.max()), common
+
+    def matches(self, asked: Recordings, max_error: float, min_common: int) -> Iterator[list[np.ndarray]]:
+        """Class, match, offset, votes in common and bit error of what queries match."""
+        for q, r, offset, common in self.votes(asked, min_common):
+            pair = q * len(self.ids) + r
+            by = np.lexsort((offset, np.abs(offset), -common, pair))
+            by = by[np.arange(len(by)) - np.searchsorted(pair[by], pair[by]) < OFFSETS]
+            q, r, offset, common, pair = (x[by] for x in (q, r, offset, common, pair))
+            low = np.maximum(0, -offset)
+            n = np.minimum(asked.size[q], self.size[r] - offset) - low
+            x, y, bits = asked.edge[q] + low, self.edge[r] + low + offset, np.zeros(len(n), np.int64)
+            for own in _cut(n):
+                differ = np.bitwise_count(asked.flat[_ranges(x[own], n[own])] ^ self.flat[_ranges(y[own], n[own])])
+                bits[own] = np.add.reduceat(differ, np.cumsum(n[own]) - n[own], dtype=np.int64)
+            error = (2_000_000 * bits + 32 * n) // (64 * n) / 1e6  # half up, at six places
+            near = np.flatnonzero(error <= max_error)
+            by = near[np.lexsort((-offset[near], -np.abs(offset[near]), common[near], ((0.5 - error) * n)[near], pair[near]))]
+            best = by[np.append(pair[by][1:] != pair[by][:-1], True)] if len(by) else by
+            yield [asked.ids[q[best]], self.ids[r[best]], offset[best].astype(np.int32), common[best].astype(np.int64), error[best]]
+
+
+def _asked(path: str) -> Iterator[Recordings]:
+    """The queries in the shared folder, some at a time."""
+    from pyarrow import fs as filesystems
+
+    fs, where = _place(path)
+    fs = fs or filesystems.LocalFileSystem()
+    for f in sorted(x.path for x in fs.get_file_info(filesystems.FileSelector(where)) if x.path.endswith(".parquet")):
+        with fs.open_input_file(f) as opened:
+            for b in pq.ParquetFile(opened).iter_batches(128, columns=["class_id", "prints"]):
+                yield Recordings(b.column(0).to_pylist(), [p.values.to_numpy() for p in b.column(1)])
+
+
 def align(prints: DataFrame, asked: DataFrame, max_error: float = MAX_ERROR, min_common: int = MIN_COMMON) -> DataFrame:
     """Matches between classes of equal fingerprints: ``class_id, match_id, offset, common, bit_error``.
 
     ``asked`` holds the class ids that are queries; a class is named by its least id.
     """
-    classes = prints.where(F.size("prints") > 0)
-    # A held tone repeats an integer; the first place of each run stands for it.
-    starts = F.filter(F.sequence(F.lit(0), F.size("prints") - 1), lambda i: (i == 0) | (F.get("prints", i) != F.get("prints", i - 1)))
-    places = classes.select("class_id", "prints", F.explode(starts).alias("at")).select("class_id", "at", F.get("prints", F.col("at")).alias("value"))
-    probe = F.posexplode(F.array(*[F.col("value").bitwiseAND(F.lit(m)) for m in _BYTES])).alias("part", "key")
-    probes = places.select("class_id", "at", "value", probe)
-    left = probes.join(asked.select(F.col("class_id")).distinct(), "class_id").select("class_id", "part", "key", F.col("at").alias("at1"), F.col("value").alias("v1"))
-    right = probes.select(F.col("class_id").alias("match_id"), "part", "key", F.col("at").alias("at2"), F.col("value").alias("v2"))
-    # Equal integers meet in all four parts and vote in the first; others meet in one.
-    met = left.join(right, ["part", "key"]).where("class_id <> match_id and (part = 0 or v1 <> v2)")
-    votes = met.groupBy("class_id", "match_id", (F.col("at2") - F.col("at1")).alias("offset")).agg(F.count("*").alias("common")).where(F.col("common") >= min_common)
-    order = Window.partitionBy("class_id", "match_id").orderBy(F.desc("common"), F.abs("offset"), "offset")
-    best = votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= OFFSETS).drop("place")
-    both = best.join(classes.select("class_id", F.col("prints").alias("x")), "class_id").join(classes.select(F.col("class_id").alias("match_id"), F.col("prints").alias("y")), "match_id")
-    # Overlap, bits and all in expressions: i runs over the places of x that meet y.
-    lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
-    bits = F.aggregate(F.sequence(lo, hi - 1), F.lit(0), lambda s, i: s + F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", (i + F.col("offset")).cast("int")))))
-    error = F.round(bits / (32.0 * (hi - lo)), 6)
-    near = both.withColumn("bit_error", error).where(F.col("bit_error") <= max_error)
-    telling = F.struct(((0.5 - F.col("bit_error")) * (hi - lo)).alias("bits"), "common", -F.abs("offset"), -F.col("offset"))
-    chosen = near.groupBy("class_id", "match_id").agg(F.max_by(F.struct("offset", "common", "bit_error"), telling).alias("c"))
-    return chosen.select("class_id", "match_id", F.col("c.offset").cast("int").alias("offset"), "c.common", "c.bit_error")
+    classes = prints.where("size(prints) > 0 and class_id is not null").select("class_id", "prints")
+    path = materialize(classes.join(asked.select("class_id").distinct(), "class_id"), "asked")._written
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, many = [], [], 0
+
+        def found() -> Iterator[pa.RecordBatch]:
+            block = Block(ids, held)
+            for some in _asked(path):
+                for columns in block.matches(some, max_error, min_common):
+                    for a in range(0, len(columns[0]), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 10_000]) for c in columns], names=["class_id", "match_id", "offset", "common", "bit_error"])
+
+        for b in batches:
+            for i, p in zip(b.column(0).to_pylist(), b.column(1)):
+                ids.append(i)
+                held.append(p.values.to_numpy().astype(np.uint32))
+                many += len(held[-1])
+                if many >= BLOCK:
+                    yield from found()
+                    ids, held, many = [], [], 0
+        if ids:
+            yield from found()
+
+    spark = lean(prints.sparkSession)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, classes.rdd.getNumPartitions())
+    return classes.repartition(tasks).mapInArrow(memos.tidy("chroma", meet), "class_id long, match_id long, offset int, common long, bit_error double")
 
 
 def tones(vectors: DataFrame) -> DataFrame:
@@ -193,19 +293,25 @@ def tones(vectors: DataFrame) -> DataFrame:
 
 
 def op6_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made of all ``embeddings``: a row each with its class, and the queries' matches between classes.
+    """Recordings made of all ``embeddings``: a row each with its class; in rows of a query's class, its links.
 
-    Rows without a match have null in ``match_id`` and what follows; rows with one name the class of a query, whose
-    members are the rows of that class.
+    ``n_links`` counts the classes a query matches, all of them; the other columns are the match of the least bit error,
+    then most votes, then least id. ``align`` lists every match. Both are null in classes without a query, the latter
+    also in queries without a match.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     found = materialize(fingerprints(tones(vectors)), "prints")
     named = found.withColumn("digest", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>"))))
-    classes = materialize(named.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("prints").alias("prints")), "classes")
-    members = named.select("id", "digest", F.size("prints").cast("long").alias("n_prints")).join(classes.select("digest", "class_id"), "digest")
-    asked = members.where("id % 20 = 0").select("class_id")
-    matches = align(classes.select("class_id", "prints"), asked)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("match_id", "long"), ("offset", "int"), ("common", "long"), ("bit_error", "double"))]
-    rows = members.select(F.col("id").alias("vec_id"), "class_id", "digest", "n_prints", *none)
-    pairs = matches.select(F.lit(None).cast("long").alias("vec_id"), "class_id", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("n_prints"), "match_id", "offset", "common", "bit_error")
-    return rows.unionByName(pairs)
+    return linked(named)
+
+
+def linked(named: DataFrame) -> DataFrame:
+    """``op6_chroma_prints`` of ``id, prints, digest``."""
+    of_class = [F.min("id").alias("class_id"), F.first("prints").alias("prints"), F.coalesce(F.bool_or(F.expr("id % 20 = 0")), F.lit(False)).alias("asked")]
+    classes = materialize(named.groupBy("digest").agg(*of_class), "classes")
+    best = F.min_by(F.struct("match_id", "offset", "common", "bit_error"), F.struct("bit_error", -F.col("common"), "match_id"))
+    links = align(classes, classes.where("asked")).groupBy("class_id").agg(F.count("*").alias("n_links"), best.alias("best"))
+    answers = classes.drop("prints").join(links, "class_id", "left")
+    n_links = F.when(F.col("asked"), F.coalesce("n_links", F.lit(0)).cast("long")).alias("n_links")
+    rows = named.select(F.col("id").alias("vec_id"), "digest", F.size("prints").cast("long").alias("n_prints")).join(answers, "digest")
+    return rows.select("vec_id", "class_id", "digest", "n_prints", n_links, "best.*")

@@ -275,3 +275,67 @@ def test_chroma_query_names_every_row(spark, sf_dir):
     rows = out.where("vec_id is not null")
     assert rows.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() == rows.select("vec_id").distinct().count()
     assert out.where(F.col("match_id") == F.col("class_id")).count() == 0
+
+
+def alignments(prints, asked):
+    """All pairs, all offsets: the definition of ``chroma.align``."""
+    out = {}
+    starts = {i: [k for k, v in enumerate(x) if not k or v != x[k - 1]] for i, x in prints.items()}
+    alike = lambda v, w: sum(v >> s & 255 != w >> s & 255 for s in (0, 8, 16, 24)) <= 1
+    for a in asked:
+        for b in prints:
+            x, y = prints[a], prints[b]
+            votes = Counter(j - i for i in starts[a] for j in starts[b] if alike(x[i], y[j])) if a != b else {}
+            best = None
+            for o in sorted((o for o, n in votes.items() if n >= 3), key=lambda o: (-votes[o], abs(o), o))[: chroma.OFFSETS]:
+                lo, hi = max(0, -o), min(len(x), len(y) - o)
+                error = math.floor(sum((x[i] ^ y[i + o]).bit_count() for i in range(lo, hi)) / (32 * (hi - lo)) * 1e6 + 0.5) / 1e6
+                if error <= chroma.MAX_ERROR:
+                    best = max(best or (-1,), ((0.5 - error) * (hi - lo), votes[o], -abs(o), -o, error))
+            if best:
+                out[a, b] = (-best[3], best[1], best[4])
+    return out
+
+
+def chance_prints():
+    """Recordings of few integers near each other, so that many match by chance."""
+    rng = random.Random(4)
+    root = rng.getrandbits(32)
+    base = [root ^ sum(1 << k for k in rng.sample(range(32), 4)) for _ in range(12)]
+    near = lambda v: v ^ rng.getrandbits(8) << rng.choice((0, 8, 16, 24)) if rng.random() < 0.3 else v
+    return {i: [near(rng.choice(base)) for _ in range(rng.choice([3, 8, 25])) for _ in range(rng.choice([1, 1, 3]))] for i in range(70)}
+
+
+@pytest.mark.parametrize("together", [1, 50, 1 << 21])
+def test_blocks_of_recordings_equal_all_pairs(monkeypatch, together):
+    monkeypatch.setattr(chroma, "TOGETHER", together)
+    prints = chance_prints()
+    want, ids = alignments(prints, range(0, 70, 3)), [*prints]
+    arrays = [np.array(prints[i], np.uint32) for i in ids]
+    got = {}
+    for a in range(0, 70, 33):
+        block = chroma.Block(ids[a : a + 33], arrays[a : a + 33])
+        for b in range(0, 70, 30):
+            some = [i for i in ids[b : b + 30] if i % 3 == 0]
+            for c in block.matches(chroma.Recordings(some, [arrays[i] for i in some]), chroma.MAX_ERROR, chroma.MIN_COMMON):
+                got |= {(q, m): tuple(r) for q, m, *r in zip(*(x.tolist() for x in c))}
+    assert len(want) > 400 and got == want
+
+
+def test_chroma_links_are_counted_not_listed(spark):
+    """A row a recording however many match, copies among them; null ids, empty fingerprints and an empty table too."""
+    prints = chance_prints()
+    rows = [(i, x) for i, x in prints.items()] + [(200, prints[1]), (201, prints[1]), (None, prints[2]), (None, [9, 9, 8]), (220, []), (221, [])]
+    df = spark.createDataFrame(rows, "id long, prints array<long>").withColumn("digest", F.md5(F.concat_ws(",", F.col("prints").cast("array<string>")))).repartition(3)
+    want = defaultdict(dict)
+    asked = [0, 1, 20, 40, 60]
+    for (a, b), (offset, common, error) in alignments(prints, asked).items():
+        want[a][b] = (error, -common, b, offset)
+    got = chroma.linked(df).collect()
+    assert len(got) == len(rows) and Counter(r["vec_id"] for r in got) == Counter(i for i, _ in rows)
+    for r in got:
+        found = want[r["class_id"]]
+        assert r["n_links"] == (len(found) if r["class_id"] in asked else 0 if r["class_id"] == 220 else None)
+        assert (r["bit_error"], -(r["common"] or 0), r["match_id"], r["offset"]) == (min(found.values()) if found else (None, 0, None, None))
+    assert sum(len(found) for found in want.values()) > len(rows)
+    assert chroma.linked(df.limit(0)).count() == 0
